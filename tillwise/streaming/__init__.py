@@ -1,0 +1 @@
+"""Nothing here: every operator of this library works on batch tables."""
