@@ -45,5 +45,5 @@ def sized(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     limit = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df if estimate <= limit else settle(df)

@@ -52,9 +52,11 @@ def read_catalog(
     return conform(spark.table(name), schema, renames)
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """CSV with a header row; columns are matched by position against ``schema``."""
-    return spark.read.csv(path, schema=schema, header=True, enforceSchema=False)
+def read_csv(
+    spark: SparkSession, path: str, schema: StructType, renames: Mapping[str, str] | None = None
+) -> DataFrame:
+    """CSV with a header row: columns are found by name, read as text and cast, not inferred."""
+    return conform(spark.read.csv(path, header=True), schema, renames)
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: str | None = None) -> None:
