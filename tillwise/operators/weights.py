@@ -16,6 +16,8 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillwise.sources.shared import settle
+
 FEATURES = ("r_quartile", "f_quartile", "m_quartile")
 LABEL = "overall_share_per_merchant"
 NAMES = ("recency", "frequency", "monetary")
@@ -51,11 +53,30 @@ def standardize(df: DataFrame, cols: Sequence[str] = FEATURES) -> DataFrame:
     )
 
 
-def _training(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+def _rows(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     vectors = VectorAssembler(inputCols=list(features), outputCol="features")
     return vectors.transform(df.select(*features, F.col(label).cast("double").alias("label")))
 
 
+def _cells(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+    """One row per combination of feature values, with the mean label and the row count.
+
+    Squared-error fits depend on nothing else, so they give the same model on these few rows
+    (64 for three quartiles) as on all rows, however many there are.
+    """
+    vectors = VectorAssembler(inputCols=list(features), outputCol="features")
+    return settle(
+        vectors.transform(
+            df.filter(F.col(label).isNotNull())
+            .groupBy(*features)
+            .agg(
+                F.avg(F.col(label).cast("double")).alias("label"),
+                F.count("*").cast("double").alias("rows"),
+            )
+        ).select("features", "label", "rows")
+    )
+
+
 def fit_linear_weights_raw(
     df: DataFrame, features: Sequence[str] = FEATURES, label: str = LABEL
 ) -> DataFrame:
@@ -82,8 +103,8 @@ def fit_linear_weights_raw(
 
     if np.linalg.det([[corr(i, j) for j in varied] for i in varied]) < 1e-9:
         raise ValueError(f"features {list(features)} are collinear; no unique weights exist")
-    model = LinearRegression(solver="normal", regParam=0.0).fit(
-        _training(df, [features[i] for i in varied], label)
+    model = LinearRegression(solver="normal", regParam=0.0, weightCol="rows").fit(
+        _cells(df, [features[i] for i in varied], label)
     )
     found = dict(zip(varied, model.coefficients))
     return _row(df, [found.get(i, 0.0) for i in range(len(features))])
@@ -113,7 +134,7 @@ def fit_forest_weights(
     """
     model = RandomForestRegressor(
         numTrees=trees, seed=seed, featureSubsetStrategy="all", maxDepth=depth
-    ).fit(_training(df, features, label))
+    ).fit(_rows(df, features, label))
     return _row(df, model.featureImportances.toArray())
 
 
@@ -128,9 +149,9 @@ def fit_boosted_weights(
 ) -> DataFrame:
     """How often boosted trees split on each standardized feature, as shares of all splits."""
     z = [f"{c}_z" for c in features]
-    model = GBTRegressor(maxDepth=depth, stepSize=eta, maxIter=rounds, seed=seed).fit(
-        _training(standardize(df, features), z, label)
-    )
+    model = GBTRegressor(
+        maxDepth=depth, stepSize=eta, maxIter=rounds, seed=seed, weightCol="rows"
+    ).fit(_cells(standardize(df, features), z, label))
     used = re.findall(r"If \(feature (\d+) ", model.toDebugString)
     return normalize_to_shares(_row(df, [used.count(str(i)) for i in range(len(features))]))
 

@@ -17,6 +17,17 @@ from tillwise.sources.shared import settle
 
 POS_A, POS_B = "POS_A", "POS_B"
 
+# The columns used, of the types they are stored with.
+RAW_SCHEMAS = {
+    "supplier": "s_suppkey bigint, s_name string, s_acctbal double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, "
+    "o_orderdate timestamp_ntz",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_extendedprice double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "part": "p_partkey bigint, p_name string, p_type string, p_retailprice double",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint",
+}
+
 
 def _key(order: str, number: str, scale: int) -> Column:
     return F.col(order) * scale + F.col(number)
@@ -27,9 +38,13 @@ class SampleTables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._raw:
+            reader = self.spark.read.schema(RAW_SCHEMAS[name])
+            self._raw[name] = reader.parquet(f"{self.folder}/{name}.parquet")
+        return self._raw[name]
 
     @cached_property
     def companies(self) -> DataFrame:
