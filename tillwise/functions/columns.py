@@ -13,9 +13,14 @@ def day(ts: Column | str) -> Column:
     return F.to_date(F.col(ts) if isinstance(ts, str) else ts)
 
 
-def period(ts: Column | str) -> Column:
+def month(ts: Column | str) -> Column:
+    """First day of the calendar month: the cheap key to group facts by."""
+    return F.trunc(day(ts), "month")
+
+
+def period(on: Column | str) -> Column:
     """Calendar month as ``yyyy-MM`` text, which sorts by time."""
-    return F.date_format(day(ts), "yyyy-MM")
+    return F.date_format(on, "yyyy-MM")
 
 
 def on_days(ts: Column | str, start: date, end: date) -> Column:

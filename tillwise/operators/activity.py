@@ -6,8 +6,10 @@ Orders are reduced to one row per merchant id before they meet any other table.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tillwise.functions.columns import churned, day, first_id
@@ -130,6 +132,35 @@ def live_locations(locations: DataFrame) -> DataFrame:
     return locations.filter(~F.col("is_deleted").cast("boolean")).select("id", "name")
 
 
+def activity_windows(spans: DataFrame, key: str) -> DataFrame:
+    """Disjoint (entity, opens, closes) windows that hold the same days as ``spans``.
+
+    Overlapping windows of one entity are merged.  Entities that have not churned stay open
+    to the last date there is.
+    """
+    windows = (
+        spans.select(
+            F.col(key).alias("entity"),
+            F.col("first_order").alias("opens"),
+            F.when(~F.col("is_churned"), F.lit(date.max))
+            .otherwise(F.col("latest_order"))
+            .alias("closes"),
+        )
+        .dropna()
+        .distinct()
+    )
+    by_start = W.partitionBy("entity").orderBy("opens", "closes")
+    reach = F.max("closes").over(by_start.rowsBetween(W.unboundedPreceding, -1))
+    gap = F.coalesce(F.col("opens") > reach, F.lit(True)).cast("int")
+    return (
+        windows.withColumn("gap", gap)
+        .withColumn("run", F.sum("gap").over(by_start.rowsBetween(W.unboundedPreceding, 0)))
+        .groupBy("entity", "run")
+        .agg(F.min("opens").alias("opens"), F.max("closes").alias("closes"))
+        .drop("run")
+    )
+
+
 def activity_gate(
     facts: DataFrame, spans: DataFrame, key: str, date_col: str, span_key: str | None = None
 ) -> DataFrame:

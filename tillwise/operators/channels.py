@@ -11,8 +11,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.functions.columns import day, first_id, on_days, period, ratio
-from tillwise.operators.activity import activity_gate
+from tillwise.functions.columns import day, first_id, month, on_days, period, ratio
+from tillwise.operators.activity import activity_gate, activity_windows
 from tillwise.sources.shared import sized
 
 
@@ -67,10 +67,10 @@ def channel_sales_by_period(
     A merchant with several resolved ids has each payment counted once per id, in sums and
     counts though not in distinct customers or the share.
 
-    Locations, ids and flags are joined with each other first; that frame and the windows are
-    stored where their size is not known to be small.  Payments are then summed per customer
-    before they are summed per merchant: that gives both distinct counts without copying rows,
-    and spreads a merchant with very many payments over all tasks.
+    Locations, ids, flags and activity windows are small; they are joined with each other first
+    and meet the payments in one join.  Payments are then summed per customer before they are
+    summed per merchant: that gives both distinct counts without copying rows, and spreads a
+    merchant with very many payments over all tasks.
     """
     places = sized(
         locations.select(F.col("id").alias("location_id"), "merchant_id")
@@ -81,6 +81,10 @@ def channel_sales_by_period(
             ),
             "location_id",
         )
+        .join(
+            activity_windows(spans, "pos_merchant_id").withColumnRenamed("entity", "merchant_id"),
+            "merchant_id",
+        )
     )
     facts = _settled_payments(payments, start, end, status).select(
         F.col("payment_details.location_id").alias("location_id"),
@@ -89,18 +93,15 @@ def channel_sales_by_period(
         F.col("payment_details.total_money.amount").alias("amount"),
         flag.alias("flagged"),
     )
-    gated = activity_gate(
-        facts.join(places, "location_id"),
-        sized(spans),
-        key="merchant_id",
-        date_col="paid_on",
-        span_key="pos_merchant_id",
+    # The windows of a merchant do not overlap, so no payment is matched by two of them.
+    gated = facts.join(places, "location_id").filter(
+        F.col("paid_on").between(F.col("opens"), F.col("closes"))
     )
     sides = {"platform": F.col("flagged"), "other": ~F.col("flagged")}
     value = F.coalesce("amount", F.lit(0))
 
     per_customer = gated.groupBy(
-        "merchant_id", "merchant_name", period("paid_on").alias("period"), "customer_id"
+        "merchant_id", "merchant_name", month("paid_on").alias("month"), "customer_id"
     ).agg(
         F.sum("amount").alias("total"),
         *[F.sum(F.when(on, value).otherwise(0)).alias(f"{s}_total") for s, on in sides.items()],
@@ -109,7 +110,7 @@ def channel_sales_by_period(
     )
 
     known = F.col("customer_id").isNotNull()
-    per_merchant = per_customer.groupBy("merchant_id", "merchant_name", "period").agg(
+    per_merchant = per_customer.groupBy("merchant_id", "merchant_name", "month").agg(
         F.sum("total").alias("total_order"),
         *[F.sum(f"{s}_total").alias(f"{s}_total") for s in sides],
         *[F.sum(f"{s}_rows").alias(f"{s}_rows") for s in sides],
@@ -128,7 +129,7 @@ def channel_sales_by_period(
     return per_merchant.select(
         "merchant_id",
         F.col("merchant_name").alias("business_name"),
-        "period",
+        period("month").alias("period"),
         "total_order",
         *[f"{s}_total" for s in sides],
         *[ratio(F.col(f"{s}_total"), F.col(f"{s}_rows")).alias(f"{s}_avg_total") for s in sides],
@@ -149,10 +150,12 @@ def pos_totals_by_location_period(
         .groupBy(
             first_id("ext_location_id", "ext_location_id__it", strict).alias("location_id"),
             "merchant_name",
-            period(due).alias("period"),
+            month(due).alias("month"),
         )
         .agg(F.sum("payment_details.checks_total_order_sum").alias("total_orders_sum"))
-        .select("total_orders_sum", "location_id", "merchant_name", "period")
+        .select(
+            "total_orders_sum", "location_id", "merchant_name", period("month").alias("period")
+        )
     )
 
 
@@ -184,10 +187,12 @@ def direct_orders_by_location_period(
         .groupBy(
             F.col("location_fk").alias("location_id"),
             "location_name",
-            period("ordered_on").alias("period"),
+            month("ordered_on").alias("month"),
         )
         .agg(F.sum("daily_sum").alias("total_orders_sum"))
-        .select("location_id", "location_name", "total_orders_sum", "period")
+        .select(
+            "location_id", "location_name", "total_orders_sum", period("month").alias("period")
+        )
     )
 
 

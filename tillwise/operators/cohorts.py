@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.functions.columns import day, named, period
+from tillwise.functions.columns import day, month, named, period
 from tillwise.sources.shared import sized
 
 
@@ -61,19 +61,26 @@ def cohort_activity_matrix(
         .groupBy(
             F.col("user_id_fk").alias("user_id"),
             F.col("company_ord_fk").alias("company_id"),
-            period("created_at").alias("order_period"),
+            month("created_at").alias("order_month"),
         )
         .agg(F.sum("calculated_total").alias("revenue"))
     )
     return (
         monthly.join(first_activity, ["user_id", "company_id"])
         .groupBy(
-            "merchant_name", period("first_order_date").alias("cohort_period"), "order_period"
+            "merchant_name", month("first_order_date").alias("cohort_month"), "order_month"
         )
         .agg(
             F.count_distinct("user_id").alias("active_customers"),
             F.sum("revenue").alias("total_revenue"),
         )
+        .select(
+            "merchant_name",
+            period("cohort_month").alias("cohort_period"),
+            period("order_month").alias("order_period"),
+            "active_customers",
+            "total_revenue",
+        )
     )
 
 

@@ -2,34 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.sources.shared import sized
 
 
-def _completed(
-    orders: DataFrame, companies: DataFrame, picked: DataFrame, status: str
-) -> DataFrame:
-    """Dated orders with ``status`` (lower case) of the picked merchants.
+def _chosen(companies: DataFrame, picked: DataFrame) -> DataFrame:
+    """Ids and names of the picked merchants, of known size, to be broadcast to the orders."""
+    return sized(
+        companies.select(
+            F.col("id").alias("company_id"), F.col("name").alias("merchant_name")
+        ).join(picked.select("merchant_name"), "merchant_name", "left_semi")
+    )
 
-    The companies are narrowed down first, so that they can be broadcast to the orders.
-    """
-    chosen = sized(
-        companies.select(F.col("id").alias("company_id"), F.col("name").alias("merchant_name"))
-        .join(picked.select("merchant_name"), "merchant_name", "left_semi")
+
+def _completed(orders: DataFrame, status: str) -> DataFrame:
+    """Dated orders with ``status`` (lower case)."""
+    return orders.filter(
+        (F.lower("orderStatus") == status) & F.col("created_at").isNotNull()
+    ).select(
+        "id",
+        F.col("user_id_fk").alias("user_id"),
+        F.col("company_ord_fk").alias("company_id"),
+        "created_at",
+        "orderStatus",
+        F.coalesce("calculated_total", F.lit(0.0)).alias("order_total"),
     )
+
+
+def _per_company(done: DataFrame, chosen: DataFrame, *measures: Column) -> DataFrame:
+    """Measures per user and picked merchant id.
+
+    Spark moves the semi-join below the aggregation, to the scan, when it can be broadcast.
+    When it cannot, the orders are reduced first, so that no merchant's orders meet in one task.
+    """
     return (
-        orders.filter((F.lower("orderStatus") == status) & F.col("created_at").isNotNull())
-        .select(
-            "id",
-            F.col("user_id_fk").alias("user_id"),
-            F.col("company_ord_fk").alias("company_id"),
-            "created_at",
-            "orderStatus",
-            F.coalesce("calculated_total", F.lit(0.0)).alias("order_total"),
-        )
-        .join(chosen, "company_id")
+        done.groupBy("user_id", "company_id")
+        .agg(*measures)
+        .join(chosen.select("company_id"), "company_id", "left_semi")
     )
 
 
@@ -42,20 +53,23 @@ def customer_orders(
     one customer in one task; orders without a user form one group, possibly a very large one.
     Spark splits such a group in the join.
     """
-    done = _completed(orders, companies, picked, status)
-    counts = done.groupBy(F.col("user_id").alias("u"), F.col("company_id").alias("c")).agg(
-        F.count("id").alias("order_count")
+    done, chosen = _completed(orders, status), _chosen(companies, picked)
+    counts = _per_company(done, chosen, F.count("id").alias("order_count"))
+    counts = counts.select(
+        F.col("user_id").alias("u"), F.col("company_id").alias("c"), "order_count"
     )
-    return done.join(
-        counts, done["user_id"].eqNullSafe(counts["u"]) & (done["company_id"] == counts["c"])
-    ).select(
-        "user_id",
-        "company_id",
-        "merchant_name",
-        "created_at",
-        "orderStatus",
-        "order_total",
-        "order_count",
+    return (
+        done.join(chosen, "company_id")
+        .join(counts, F.col("user_id").eqNullSafe(F.col("u")) & (F.col("company_id") == F.col("c")))
+        .select(
+            "user_id",
+            "company_id",
+            "merchant_name",
+            "created_at",
+            "orderStatus",
+            "order_total",
+            "order_count",
+        )
     )
 
 
@@ -80,15 +94,17 @@ def lifetime_of_orders(
     Use it where the single orders are not wanted: it reads the orders once and reduces them
     before the first shuffle.
     """
+    chosen = _chosen(companies, picked)
+    per_company = _per_company(
+        _completed(orders, status),
+        chosen,
+        F.min("created_at").alias("first"),
+        F.max("created_at").alias("last"),
+        F.sum("order_total").alias("revenue"),
+        F.count("id").alias("n"),
+    )
     return (
-        _completed(orders, companies, picked, status)
-        .groupBy("user_id", "company_id", "merchant_name")
-        .agg(
-            F.min("created_at").alias("first"),
-            F.max("created_at").alias("last"),
-            F.sum("order_total").alias("revenue"),
-            F.count("id").alias("n"),
-        )
+        per_company.join(chosen, "company_id")
         .groupBy("user_id", "merchant_name")
         .agg(
             F.min("first").alias("first_order_date"),
@@ -99,28 +115,46 @@ def lifetime_of_orders(
     )
 
 
-def repeat_customers(lifetime: DataFrame) -> DataFrame:
-    """Customers with more than one order.  Revenue without a user counts, its user does not."""
-    return (
-        lifetime.filter(F.col("total_orders") > 1)
-        .groupBy("merchant_name")
-        .agg(
-            F.count("user_id").alias("repeat_customer_count"),
-            F.avg("total_orders").alias("avg_orders_per_repeat_customer"),
-            F.sum("total_revenue").alias("total_revenue_from_repeat_customers"),
-        )
+def customer_kinds(lifetime: DataFrame) -> DataFrame:
+    """Repeat and first-time customers of each merchant, side by side, in one pass.
+
+    Revenue without a user counts, its user does not.
+    """
+    orders, revenue = F.col("total_orders"), F.col("total_revenue")
+    again, once = orders > 1, orders == 1
+    return lifetime.groupBy("merchant_name").agg(
+        F.count(F.when(again, F.lit(1))).alias("repeat_rows"),
+        F.count(F.when(again, F.col("user_id"))).alias("repeat_customer_count"),
+        F.avg(F.when(again, orders)).alias("avg_orders_per_repeat_customer"),
+        F.sum(F.when(again, revenue)).alias("total_revenue_from_repeat_customers"),
+        F.count(F.when(once, F.lit(1))).alias("first_time_rows"),
+        F.count(F.when(once, F.col("user_id"))).alias("first_time_customer_count"),
+        F.sum(F.when(once, revenue)).alias("total_revenue_from_first_time_customers"),
     )
 
 
+def repeat_customers(lifetime: DataFrame) -> DataFrame:
+    """Customers with more than one order, per merchant that has any."""
+    return repeat_side(customer_kinds(lifetime))
+
+
 def first_time_customers(lifetime: DataFrame) -> DataFrame:
-    """Customers with exactly one order."""
-    return (
-        lifetime.filter(F.col("total_orders") == 1)
-        .groupBy("merchant_name")
-        .agg(
-            F.count("user_id").alias("first_time_customer_count"),
-            F.sum("total_revenue").alias("total_revenue_from_first_time_customers"),
-        )
+    """Customers with exactly one order, per merchant that has any."""
+    return first_time_side(customer_kinds(lifetime))
+
+
+def repeat_side(kinds: DataFrame) -> DataFrame:
+    return kinds.filter(F.col("repeat_rows") > 0).select(
+        "merchant_name",
+        "repeat_customer_count",
+        "avg_orders_per_repeat_customer",
+        "total_revenue_from_repeat_customers",
+    )
+
+
+def first_time_side(kinds: DataFrame) -> DataFrame:
+    return kinds.filter(F.col("first_time_rows") > 0).select(
+        "merchant_name", "first_time_customer_count", "total_revenue_from_first_time_customers"
     )
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tillwise.functions.columns import channel_flag, day, named, period
+from tillwise.functions.columns import channel_flag, day, month, named, period
 from tillwise.operators import activity, channels, cohorts, customers, rfm, segments, weights
 from tillwise.sources.shared import settle
 
@@ -119,8 +119,9 @@ def channel_split(t: Inputs, descending: bool = True, k: int = 10) -> DataFrame:
 def repeat_vs_first_time(t: Inputs, descending: bool = True, k: int = 10) -> DataFrame:
     s = segment(t, descending, k)
     lifetime = customers.lifetime_of_orders(t.orders, t.companies, s.picked)
+    kinds = settle(customers.customer_kinds(lifetime))
     return customers.repeat_vs_first_time_report(
-        customers.repeat_customers(lifetime), customers.first_time_customers(lifetime), s.labels
+        customers.repeat_side(kinds), customers.first_time_side(kinds), s.labels
     )
 
 
@@ -176,7 +177,7 @@ def cohort_report(
         .groupBy(
             F.col("user_id_fk").alias("user_id"),
             F.col("company_ord_fk").alias("company_id"),
-            period("created_at").alias("order_period"),
+            month("created_at").alias("order_month"),
         )
         .agg(
             F.sum("calculated_total").alias("total_revenue"),
@@ -185,16 +186,14 @@ def cohort_report(
     )
     # One row per month here, so a user's rows at one merchant are few.
     first = F.min("first_in_month").over(W.partitionBy("user_id", "company_id"))
-    cohort = monthly.withColumn("cohort_period", period(first))
-    # Customer-months: a month without a date still is one.
-    month = F.coalesce("order_period", F.lit(""))
-    rolled = (
-        cohort.filter(F.col("cohort_period") >= min_cohort)
+    matrix = (
+        monthly.withColumn("cohort_period", period(first))
+        .filter(F.col("cohort_period") >= min_cohort)
         .join(merchants, "company_id")
-        .groupBy("merchant_name", "cohort_period", month.alias("order_period"))
+        .groupBy("merchant_name", "cohort_period", "order_month")
         .agg(
             F.count_distinct("user_id").alias("active_customers"),
             F.sum("total_revenue").alias("total_revenue"),
         )
     )
-    return cohorts.cohort_rollup(rolled, min_cohort, label_pattern, yes, no)
+    return cohorts.cohort_rollup(matrix, min_cohort, label_pattern, yes, no)

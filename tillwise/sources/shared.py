@@ -2,8 +2,7 @@
 
 A frame that is read more than once, or that may be broadcast, is written there first.  That
 does three things: it is computed once, losing an executor costs no recomputation, and the
-planner sees its true size, so Spark broadcasts it only below
-``spark.sql.autoBroadcastJoinThreshold`` and shuffles it beyond.
+planner sees its true size, so it is broadcast only within a known bound and shuffled beyond.
 """
 
 from __future__ import annotations
@@ -12,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_folder: dict[str, str] = {}
 
@@ -38,12 +38,29 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# Bounds under which a stored side is broadcast even above Spark's own threshold: the facts it
+# spares from a shuffle are far larger.
+BROADCAST_BYTES = 64 * 1024 * 1024
+BROADCAST_ROWS = 2_000_000
+
+
+def _estimate(df: DataFrame) -> int:
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def sized(df: DataFrame) -> DataFrame:
     """Make sure the planner can judge the size of ``df``, the small side of a join.
 
-    Left alone when its upper estimate is already under the broadcast threshold, else settled.
+    Left alone when its upper estimate is already under the broadcast threshold.  Otherwise
+    stored and measured: broadcast within the bounds above, and shuffled like any other table
+    beyond them, or where broadcasting is switched off.
     """
-    spark = df.sparkSession
-    limit = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df if estimate <= limit else settle(df)
+    threshold = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    if _estimate(df) <= threshold:
+        return df
+    stored = settle(df)
+    size = _estimate(stored)
+    if threshold < size <= BROADCAST_BYTES and threshold > 0:
+        if stored.count() <= BROADCAST_ROWS:
+            return F.broadcast(stored)
+    return stored
