@@ -10,6 +10,7 @@ key must be unique, which also makes the numbering repeatable.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from datetime import date
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
@@ -26,17 +27,21 @@ def _sorting(keys: SortKeys) -> list[Column]:
     return [F.col(c).desc() if way == "desc" else F.col(c).asc() for c, way in keys]
 
 
-def _before(cut: Column, keys: SortKeys) -> Column:
-    """Does ``cut`` sort strictly before the row?  NULLs first ascending, last descending."""
-    result = F.lit(False)
-    for name, way in reversed(keys):
-        theirs, ours = cut[name], F.col(name)
-        if way == "desc":
-            less = F.coalesce(theirs > ours, theirs.isNotNull() & ours.isNull())
-        else:
-            less = F.coalesce(theirs < ours, theirs.isNull() & ours.isNotNull())
-        result = less | (theirs.eqNullSafe(ours) & result)
-    return result
+def _slice_of(cuts: Column, keys: SortKeys) -> Column:
+    """How many cuts sort strictly before the row.  NULLs first ascending, last descending."""
+
+    def before(cut: Column) -> Column:
+        result = F.lit(False)
+        for name, way in reversed(keys):
+            theirs, ours = cut[name], F.col(name)
+            if way == "desc":
+                less = F.coalesce(theirs > ours, theirs.isNotNull() & ours.isNull())
+            else:
+                less = F.coalesce(theirs < ours, theirs.isNull() & ours.isNotNull())
+            result = less | (theirs.eqNullSafe(ours) & result)
+        return result
+
+    return F.size(F.filter(cuts, before))
 
 
 def _cut_rows(df: DataFrame, columns: list[str], slices: int) -> list:
@@ -51,6 +56,10 @@ def _cut_rows(df: DataFrame, columns: list[str], slices: int) -> list:
     )
 
 
+def _constant(value) -> Column:
+    return F.lit(str(value) if isinstance(value, date) else value)
+
+
 def number_rows(
     df: DataFrame,
     orders: Mapping[str, SortKeys],
@@ -62,7 +71,7 @@ def number_rows(
     ``df`` is read up to four times, so pass a stored table (see ``sources.shared.settle``).
     """
     total = df.count()
-    if total <= one_task_rows:
+    if total <= max(one_task_rows, 1):
         for name, keys in orders.items():
             df = df.withColumn(name, F.row_number().over(W.orderBy(*_sorting(keys))))
         return df, total
@@ -74,14 +83,11 @@ def number_rows(
     columns = list(dict.fromkeys(c for keys in orders.values() for c, _ in keys))
     cuts = F.array(
         *[
-            F.struct(*[F.lit(row[c]).cast(types[c]).alias(c) for c in columns])
+            F.struct(*[_constant(row[c]).cast(types[c]).alias(c) for c in columns])
             for row in _cut_rows(df, columns, slices)
         ]
     )
-    slice_of = {
-        name: F.size(F.filter(cuts, lambda cut, keys=keys: _before(cut, keys)))
-        for name, keys in orders.items()
-    }
+    slice_of = {name: _slice_of(cuts, keys) for name, keys in orders.items()}
     sizes = {
         (r["order"], r["slice"]): r["rows"]
         for r in df.select(
