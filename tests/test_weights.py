@@ -86,7 +86,9 @@ def test_boosting_on_cells_equals_boosting_on_rows(points):
 
     z = [f"{c}_z" for c in weights.FEATURES]
     training = weights._rows(weights.standardize(points), z, weights.LABEL)
-    model = GBTRegressor(maxDepth=3, stepSize=0.1, maxIter=5, seed=42).fit(training)
+    model = GBTRegressor(maxDepth=3, stepSize=0.1, maxIter=5, minInfoGain=1e-12, seed=42).fit(
+        training
+    )
     used = re.findall(r"If \(feature (\d+) ", model.toDebugString)
     want = [used.count(str(i)) / len(used) for i in range(3)]
     assert tuple(weights.fit_boosted_weights(points, rounds=5).first()) == pytest.approx(want)

@@ -68,7 +68,7 @@ def number_rows(
 ) -> tuple[DataFrame, int]:
     """Add one 1-based row number per entry of ``orders``; also return the row count.
 
-    ``df`` is read up to four times, so pass a stored table (see ``sources.shared.settle``).
+    ``df`` is read up to four times, so pass a stored table (see ``sources.shared.reusable``).
     """
     total = df.count()
     if total <= max(one_task_rows, 1):

@@ -12,7 +12,7 @@ from tillwise.functions.columns import day
 from tillwise.functions.ranking import ONE_TASK_ROWS, ntile_of, number_rows
 from tillwise.operators.segments import SHARE
 from tillwise.operators.weights import weighted_sum
-from tillwise.sources.shared import settle
+from tillwise.sources.shared import reusable
 
 # The default score weights of recency, frequency and share.
 DEFAULT_WEIGHTS = {
@@ -77,7 +77,7 @@ def rfm_quartiles(
         "f_quartile": [("frequency", "asc"), name],
         "m_quartile": [(m_by, "asc"), name],
     }
-    ranked, total = number_rows(settle(rfm_base), scores, one_task_rows)
+    ranked, total = number_rows(reusable(rfm_base), scores, one_task_rows)
     return ranked.select(
         *rfm_base.columns, *[ntile_of(F.col(s), total, buckets).alias(s) for s in scores]
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tillwise.functions.columns import ratio
 from tillwise.functions.ranking import ONE_TASK_ROWS, ntile_of, number_rows
-from tillwise.sources.shared import settle
+from tillwise.sources.shared import reusable
 
 SHARE = "overall_share_per_merchant"
 
@@ -30,7 +30,7 @@ def top_revenue_quartile(
 ) -> DataFrame:
     """Totals of the merchants in NTILE bucket ``keep`` of ``buckets``, largest revenue first."""
     ranked, total = number_rows(
-        settle(merchant_totals(sales)),
+        reusable(merchant_totals(sales)),
         {"place": [("total_revenue", "desc"), ("merchant_name", "asc")]},
         one_task_rows,
     )
@@ -45,7 +45,7 @@ def anonymize_by_rank(
 ) -> DataFrame:
     """Label each merchant with its rank by ``by``, highest first."""
     ranked, _ = number_rows(
-        settle(segment.select("merchant_name", by)),
+        reusable(segment.select("merchant_name", by)),
         {"place": [(by, "desc"), ("merchant_name", "asc")]},
         one_task_rows,
     )

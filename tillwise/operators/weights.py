@@ -146,11 +146,20 @@ def fit_boosted_weights(
     eta: float = 0.1,
     rounds: int = 100,
     seed: int = 42,
+    min_gain: float = 1e-12,
 ) -> DataFrame:
-    """How often boosted trees split on each standardized feature, as shares of all splits."""
+    """How often boosted trees split on each standardized feature, as shares of all splits.
+
+    ``min_gain`` keeps rounding errors from passing as gains.
+    """
     z = [f"{c}_z" for c in features]
     model = GBTRegressor(
-        maxDepth=depth, stepSize=eta, maxIter=rounds, seed=seed, weightCol="rows"
+        maxDepth=depth,
+        stepSize=eta,
+        maxIter=rounds,
+        seed=seed,
+        minInfoGain=min_gain,
+        weightCol="rows",
     ).fit(_cells(standardize(df, features), z, label))
     used = re.findall(r"If \(feature (\d+) ", model.toDebugString)
     return normalize_to_shares(_row(df, [used.count(str(i)) for i in range(len(features))]))

@@ -38,6 +38,13 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def reusable(df: DataFrame) -> DataFrame:
+    """A frame that will be read several times: stored, unless all it reads is small anyway."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    read = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    return df if read <= _threshold(df) else settle(df)
+
+
 # Bounds under which a stored side is broadcast even above Spark's own threshold: the facts it
 # spares from a shuffle are far larger.
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -48,6 +55,10 @@ def _estimate(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def _threshold(df: DataFrame) -> int:
+    return df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+
+
 def sized(df: DataFrame) -> DataFrame:
     """Make sure the planner can judge the size of ``df``, the small side of a join.
 
@@ -55,7 +66,7 @@ def sized(df: DataFrame) -> DataFrame:
     stored and measured: broadcast within the bounds above, and shuffled like any other table
     beyond them, or where broadcasting is switched off.
     """
-    threshold = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    threshold = _threshold(df)
     if _estimate(df) <= threshold:
         return df
     stored = settle(df)
