@@ -169,27 +169,29 @@ def direct_orders_by_location_period(
 ) -> DataFrame:
     """Completed platform orders per live location and month of creation, on active days.
 
-    Orders are summed per merchant, location and day before any join; no order is moved whole.
+    The windows are broadcast to the scan where their size allows it.  Orders are summed per
+    location and month before they meet the locations.
     """
-    daily = (
-        orders.filter((F.col("orderStatus") == status) & on_days("created_at", start, end))
-        .groupBy("company_ord_fk", "location_fk", day("created_at").alias("ordered_on"))
-        .agg(F.sum("calculated_total").alias("daily_sum"))
+    facts = orders.filter(
+        (F.col("orderStatus") == status) & on_days("created_at", start, end)
+    ).select(
+        "company_ord_fk",
+        F.col("location_fk").alias("location_id"),
+        day("created_at").alias("ordered_on"),
+        "calculated_total",
     )
-    gated = activity_gate(daily, spans, "company_ord_fk", "ordered_on", span_key="company_id")
     return (
-        gated.join(
+        activity_gate(facts, sized(spans), "company_ord_fk", "ordered_on", "company_id")
+        .groupBy("location_id", month("ordered_on").alias("month"))
+        .agg(F.sum("calculated_total").alias("monthly_sum"))
+        .join(
             live_locations.select(
-                F.col("id").alias("location_fk"), F.col("name").alias("location_name")
+                F.col("id").alias("location_id"), F.col("name").alias("location_name")
             ),
-            "location_fk",
-        )
-        .groupBy(
-            F.col("location_fk").alias("location_id"),
-            "location_name",
-            month("ordered_on").alias("month"),
+            "location_id",
         )
-        .agg(F.sum("daily_sum").alias("total_orders_sum"))
+        .groupBy("location_id", "location_name", "month")
+        .agg(F.sum("monthly_sum").alias("total_orders_sum"))
         .select(
             "location_id", "location_name", "total_orders_sum", period("month").alias("period")
         )
