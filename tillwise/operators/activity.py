@@ -26,7 +26,8 @@ def resolve_external_ids(
     )
 
 
-def _order_dates(orders: DataFrame, status: str) -> DataFrame:
+def order_dates(orders: DataFrame, status: str = "COMPLETED") -> DataFrame:
+    """First and last order with ``status`` per merchant id; both kinds of span start here."""
     ordered_on = day("created_at")
     return (
         orders.filter(F.col("orderStatus") == status)
@@ -42,11 +43,13 @@ def activity_span_bridged(
     integration: str,
     churn_pattern: str = "%CHURN%",
     status: str = "COMPLETED",
+    dates: DataFrame | None = None,
 ) -> DataFrame:
     """First and last completed order per merchant, with its id in the POS system.
 
     ``bridge`` (merchant_id, resolved_id) gives that id, the company table does where the bridge
-    has none.  A merchant with no bridge row is left out.
+    has none.  A merchant with no bridge row is left out.  ``dates`` is ``order_dates(orders)``
+    if that is at hand already.
     """
     merchants = (
         companies.filter(F.col("payment_integration") == integration)
@@ -63,9 +66,9 @@ def activity_span_bridged(
         )
         .distinct()
     )
+    dates = order_dates(orders, status) if dates is None else dates
     return (
-        _order_dates(orders, status)
-        .join(merchants, "id")
+        dates.join(merchants, "id")
         .select("first_order", "latest_order", "name", "id", "is_churned", "pos_merchant_id")
     )
 
@@ -76,6 +79,7 @@ def activity_span(
     integration: str,
     churn_pattern: str = "%CHURN%",
     status: str = "COMPLETED",
+    dates: DataFrame | None = None,
 ) -> DataFrame:
     """The same for a POS system whose merchants need no id bridge."""
     merchants = (
@@ -88,9 +92,9 @@ def activity_span(
         )
         .distinct()
     )
+    dates = order_dates(orders, status) if dates is None else dates
     return (
-        _order_dates(orders, status)
-        .join(merchants, "id")
+        dates.join(merchants, "id")
         .select(
             "first_order", "latest_order", "name", F.col("id").alias("company_id"), "is_churned"
         )

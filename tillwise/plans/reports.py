@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tillwise.functions.columns import channel_flag, day, month, named, period
 from tillwise.operators import activity, channels, cohorts, customers, rfm, segments, weights
-from tillwise.sources.shared import settle
+from tillwise.sources.shared import reusable, settle
 
 
 @dataclass(frozen=True)
@@ -47,17 +47,17 @@ def id_bridge(t: Inputs) -> DataFrame:
     )
 
 
-def spans_a(t: Inputs) -> DataFrame:
+def spans_a(t: Inputs, dates: DataFrame | None = None) -> DataFrame:
     return activity.activity_span_bridged(
-        t.orders, t.companies, id_bridge(t), t.pos_a, t.churn_pattern
+        t.orders, t.companies, id_bridge(t), t.pos_a, t.churn_pattern, dates=dates
     )
 
 
-def spans_b(t: Inputs) -> DataFrame:
-    return activity.activity_span(t.orders, t.companies, t.pos_b, t.churn_pattern)
+def spans_b(t: Inputs, dates: DataFrame | None = None) -> DataFrame:
+    return activity.activity_span(t.orders, t.companies, t.pos_b, t.churn_pattern, dates=dates)
 
 
-def pos_a_sales(t: Inputs) -> DataFrame:
+def pos_a_sales(t: Inputs, dates: DataFrame | None = None) -> DataFrame:
     # Only locations with a flagged payment pass, so the others need not be counted.
     flags = channels.flagged_count_by_location(
         t.pos_a_payments.filter(t.flag), t.pos_a_locations, t.flag, t.start, t.end
@@ -67,26 +67,30 @@ def pos_a_sales(t: Inputs) -> DataFrame:
         t.pos_a_locations,
         id_bridge(t),
         flags,
-        spans_a(t),
+        spans_a(t, dates),
         t.flag,
         t.start,
         t.end,
     )
 
 
-def pos_b_sides(t: Inputs) -> tuple[DataFrame, DataFrame]:
+def pos_b_sides(t: Inputs, dates: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """POS totals and the platform's own totals per location and month."""
     pos = channels.pos_totals_by_location_period(t.pos_b_orders, t.start, t.end)
     direct = channels.direct_orders_by_location_period(
-        t.orders, activity.live_locations(t.locations), spans_b(t), t.start, t.end
+        t.orders, activity.live_locations(t.locations), spans_b(t, dates), t.start, t.end
     )
     return pos, direct
 
 
 def monthly_sales(t: Inputs) -> DataFrame:
-    """Sales per merchant and month over both POS systems."""
+    """Sales per merchant and month over both POS systems.
+
+    The order dates are taken once for the activity windows of both.
+    """
+    dates = reusable(activity.order_dates(t.orders))
     return channels.union_channel_sales(
-        pos_a_sales(t), channels.channel_totals_by_period(*pos_b_sides(t))
+        pos_a_sales(t, dates), channels.channel_totals_by_period(*pos_b_sides(t, dates))
     )
 
 
