@@ -142,3 +142,18 @@ def test_session_time_zone_does_not_matter(spark, conf):
             ]
         )
     assert results[0] == results[1] == results[2]
+
+
+def test_reports_over_shared_sales_are_the_single_reports(spark):
+    tables = SampleTables(spark, "/root/testdata/sf0.001")
+    inputs = entry._inputs(tables, stored=True)
+    together = reports.all_reports(inputs, entry.AS_OF)
+    assert len(together) == 6
+    apart = {
+        "channel_split_top": reports.channel_split(inputs),
+        "repeat_vs_first_time_bottom": reports.repeat_vs_first_time(inputs, descending=False),
+        "rfm_scores_top": reports.rfm_scores(inputs, entry.AS_OF),
+    }
+    for name, single in apart.items():
+        assert rows(together[name]) == rows(single), name
+        assert rows(single)

@@ -102,3 +102,15 @@ def test_sized_side_is_broadcast_only_within_bounds(spark, conf, monkeypatch):
     assert "SortMergeJoin" in plan(facts.join(shared.sized(unknown), "k"))
     conf("spark.sql.autoBroadcastJoinThreshold", "10000000")
     assert shared.sized(small) is small
+
+
+def test_reusable_stores_only_what_costs_to_repeat(spark, conf):
+    stored = shared.settle(spark.range(1000).selectExpr("id", "id % 7 as k"))
+    conf("spark.sql.autoBroadcastJoinThreshold", "100")
+    scan = stored.filter("k > 1").select("k")
+    assert shared.reusable(scan) is scan
+    counted = stored.groupBy("k").count()
+    assert "Aggregate" not in plan(shared.reusable(counted))
+    assert rows(shared.reusable(counted)) == rows(counted)
+    conf("spark.sql.autoBroadcastJoinThreshold", "10000000")
+    assert shared.reusable(counted) is counted

@@ -16,7 +16,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.sources.shared import settle
+from tillwise.sources.shared import reusable, settle
 
 FEATURES = ("r_quartile", "f_quartile", "m_quartile")
 LABEL = "overall_share_per_merchant"
@@ -85,6 +85,7 @@ def fit_linear_weights_raw(
     A constant feature gets weight 0.  Features that determine each other have no single
     solution and raise ``ValueError``.
     """
+    df = reusable(df)
     pairs = [(i, j) for i in range(len(features)) for j in range(i)]
     stats = df.agg(
         F.count("*").alias("rows"),
@@ -115,7 +116,7 @@ def fit_linear_weights(
 ) -> DataFrame:
     """Least-squares coefficients on standardized features."""
     return fit_linear_weights_raw(
-        standardize(df, features), [f"{c}_z" for c in features], label
+        standardize(reusable(df), features), [f"{c}_z" for c in features], label
     )
 
 
@@ -134,7 +135,7 @@ def fit_forest_weights(
     """
     model = RandomForestRegressor(
         numTrees=trees, seed=seed, featureSubsetStrategy="all", maxDepth=depth
-    ).fit(_rows(df, features, label))
+    ).fit(_rows(reusable(df), features, label))
     return _row(df, model.featureImportances.toArray())
 
 
@@ -152,7 +153,7 @@ def fit_boosted_weights(
 
     ``min_gain`` keeps rounding errors from passing as gains.
     """
-    z = [f"{c}_z" for c in features]
+    df, z = reusable(df), [f"{c}_z" for c in features]
     model = GBTRegressor(
         maxDepth=depth,
         stepSize=eta,

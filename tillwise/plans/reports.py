@@ -104,8 +104,11 @@ class Segment:
     picked: DataFrame
 
 
-def segment(t: Inputs, descending: bool = True, k: int = 10) -> Segment:
-    sales = settle(monthly_sales(t))
+def segment(
+    t: Inputs, descending: bool = True, k: int = 10, sales: DataFrame | None = None
+) -> Segment:
+    """``sales`` is the stored result of ``monthly_sales``, if several reports share it."""
+    sales = settle(monthly_sales(t)) if sales is None else sales
     merchants = segments.top_revenue_quartile(sales)
     return Segment(
         sales,
@@ -115,13 +118,17 @@ def segment(t: Inputs, descending: bool = True, k: int = 10) -> Segment:
     )
 
 
-def channel_split(t: Inputs, descending: bool = True, k: int = 10) -> DataFrame:
-    s = segment(t, descending, k)
+def channel_split(
+    t: Inputs, descending: bool = True, k: int = 10, sales: DataFrame | None = None
+) -> DataFrame:
+    s = segment(t, descending, k, sales)
     return segments.channel_split_report(s.sales, s.labels, s.picked)
 
 
-def repeat_vs_first_time(t: Inputs, descending: bool = True, k: int = 10) -> DataFrame:
-    s = segment(t, descending, k)
+def repeat_vs_first_time(
+    t: Inputs, descending: bool = True, k: int = 10, sales: DataFrame | None = None
+) -> DataFrame:
+    s = segment(t, descending, k, sales)
     lifetime = customers.lifetime_of_orders(t.orders, t.companies, s.picked)
     kinds = settle(customers.customer_kinds(lifetime))
     return customers.repeat_vs_first_time_report(
@@ -135,12 +142,24 @@ def rfm_scores(
     descending: bool = True,
     k: int = 10,
     score_weights: Mapping[str, float] | DataFrame = rfm.DEFAULT_WEIGHTS,
+    sales: DataFrame | None = None,
 ) -> DataFrame:
-    s = segment(t, descending, k)
+    s = segment(t, descending, k, sales)
     quartiles = rfm.rfm_quartiles(rfm.rfm_base(s.merchants, t.companies, t.orders, as_of))
     return rfm.rfm_report(quartiles, s.labels, s.picked, score_weights)
 
 
+def all_reports(t: Inputs, as_of: date | None = None, k: int = 10) -> dict[str, DataFrame]:
+    """The three reports for the best and the worst merchants, over monthly sales taken once."""
+    sales = settle(monthly_sales(t))
+    reports = {}
+    for side, descending in (("top", True), ("bottom", False)):
+        reports[f"channel_split_{side}"] = channel_split(t, descending, k, sales)
+        reports[f"repeat_vs_first_time_{side}"] = repeat_vs_first_time(t, descending, k, sales)
+        reports[f"rfm_scores_{side}"] = rfm_scores(t, as_of, descending, k, sales=sales)
+    return reports
+
+
 def all_merchant_quartiles(t: Inputs, as_of: date | None = None) -> DataFrame:
     """RFM quartiles over every merchant with sales, stored: the input of the weight fits."""
     totals = segments.merchant_totals(monthly_sales(t))

@@ -38,9 +38,22 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _only_scans(plan) -> bool:
+    """Is this a scan with at most filters and projections on top?"""
+    while plan.children().size() == 1 and plan.nodeName() in ("Filter", "Project"):
+        plan = plan.children().head()
+    return plan.nodeName() in ("LogicalRelation", "LocalRelation")
+
+
 def reusable(df: DataFrame) -> DataFrame:
-    """A frame that will be read several times: stored, unless all it reads is small anyway."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    """A frame that will be read several times: stored, unless a stored table already or small.
+
+    Small is judged by all it reads, not by its result.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if _only_scans(plan):
+        return df
+    leaves = plan.collectLeaves()
     read = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
     return df if read <= _threshold(df) else settle(df)
 

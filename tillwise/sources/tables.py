@@ -60,8 +60,13 @@ def read_csv(
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: str | None = None) -> None:
-    """Write a table; partition facts by month to let date windows skip whole folders."""
-    writer = df.write.mode("errorifexists")
+    """Write a table; partition facts by month to let date windows skip whole folders.
+
+    The rows of a partition are gathered into few files, and a partition too large for one task
+    is split again.
+    """
+    writer = df.hint("rebalance", partition_by) if partition_by else df
+    writer = writer.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
