@@ -1,4 +1,8 @@
-"""Input tables of the operators.  Schemas are declared, never inferred."""
+"""Input tables of the operators.  Schemas are declared, never inferred.
+
+Operators only compare keys with each other, so where a system's ids are text, declare a schema of
+your own with text ids and read with that.
+"""
 
 from __future__ import annotations
 
