@@ -24,6 +24,14 @@ from tillwise.plans import reports
 from tillwise.sources.sample_tables import POS_A, POS_B, SampleTables
 from tillwise.sources.shared import settle
 
+try:
+    import corpus_pipeline
+    from tillwise.llm import queries as text_queries
+except ModuleNotFoundError as gone:
+    if gone.name not in ("corpus_pipeline", "tillwise.llm"):
+        raise
+    corpus_pipeline = text_queries = None
+
 START, END = date(1996, 1, 1), date(1996, 9, 30)
 AS_OF = date(2001, 9, 1)
 MIN_COHORT = "1996-01"
@@ -428,12 +436,20 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """One query per operator, reports with both directions."""
-    return {
+    """One query per operator, reports with both directions; text operators if they are there."""
+    found = {
         q.__name__: lambda spark, folder, q=q: q(SampleTables(spark, folder)) for q in _QUERIES
     }
+    if text_queries:
+        found |= text_queries.QUERIES | {"pipeline": corpus_pipeline.run}
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
     """The same results in DuckDB SQL over the raw tables; tree models have none."""
-    return oracle_texts()
+    found = oracle_texts()
+    if text_queries:
+        found |= text_queries.ORACLE_SQL
+        if corpus_pipeline.ORACLE_SQL:
+            found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
