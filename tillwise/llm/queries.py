@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tillwise.llm import mixing
+from tillwise.llm import decontaminate, mixing
 
 QUERIES = {
     "op2_curriculum_mix": mixing.op2_curriculum_mix,
+    "op7_wu_manber": decontaminate.op7_wu_manber,
 }
 
 ORACLE_SQL = {
     "op2_curriculum_mix": mixing.OP2_SQL,
+    "op7_wu_manber": decontaminate.OP7_SQL,
 }
