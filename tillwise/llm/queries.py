@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tillwise.llm import decontaminate, mixing
+from tillwise.llm import decontaminate, mixing, rules
 
 QUERIES = {
     "op2_curriculum_mix": mixing.op2_curriculum_mix,
     "op7_wu_manber": decontaminate.op7_wu_manber,
+    "op8_robust_rules": rules.op8_robust_rules,
 }
 
 ORACLE_SQL = {
