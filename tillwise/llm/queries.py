@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tillwise.llm import decontaminate, mixing, rules
+from tillwise.llm import decontaminate, mixing, rules, secrets
 
 QUERIES = {
     "op2_curriculum_mix": mixing.op2_curriculum_mix,
     "op7_wu_manber": decontaminate.op7_wu_manber,
     "op8_robust_rules": rules.op8_robust_rules,
+    "op9_entropy_secrets": secrets.op9_entropy_secrets,
 }
 
 ORACLE_SQL = {
