@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tillwise.llm import decontaminate, mixing, rules, secrets
+from tillwise.llm import decontaminate, html_text, mixing, rules, secrets
 
 QUERIES = {
     "op2_curriculum_mix": mixing.op2_curriculum_mix,
+    "op3_template_extract": html_text.op3_template_extract,
     "op7_wu_manber": decontaminate.op7_wu_manber,
     "op8_robust_rules": rules.op8_robust_rules,
     "op9_entropy_secrets": secrets.op9_entropy_secrets,
