@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tillwise.llm import decontaminate, html_text, mixing, rules, secrets
+from tillwise.llm import decontaminate, html_text, mixing, rules, secrets, token_files
 
 QUERIES = {
+    "op1_range_ans": token_files.op1_range_ans,
     "op2_curriculum_mix": mixing.op2_curriculum_mix,
     "op3_template_extract": html_text.op3_template_extract,
     "op7_wu_manber": decontaminate.op7_wu_manber,
