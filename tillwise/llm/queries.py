@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tillwise.llm import decontaminate, html_text, mixing, quality_gam, rules, secrets, token_files
+from tillwise.llm import decontaminate, group_join, html_text, mixing, quality_gam, rules, secrets, token_files
 
 QUERIES = {
     "op1_range_ans": token_files.op1_range_ans,
@@ -12,9 +12,11 @@ QUERIES = {
     "op7_wu_manber": decontaminate.op7_wu_manber,
     "op8_robust_rules": rules.op8_robust_rules,
     "op9_entropy_secrets": secrets.op9_entropy_secrets,
+    "op10_group_join": group_join.op10_group_join,
 }
 
 ORACLE_SQL = {
     "op2_curriculum_mix": mixing.OP2_SQL,
     "op7_wu_manber": decontaminate.OP7_SQL,
+    "op10_group_join": group_join.OP10_SQL,
 }
