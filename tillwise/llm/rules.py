@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tillwise.llm.common import SPACE, table
-from tillwise.sources.shared import settle
+from tillwise.sources.shared import settle, sized
 
 WINDOW = 5
 SUPPORT = 0.75
@@ -245,11 +245,12 @@ def judge(docs: DataFrame, cut: float = CUT, least_rows: int = LEAST_ROWS, **opt
 def clean(docs: DataFrame, **options) -> DataFrame:
     """The documents that ``judge`` keeps, columns unchanged.
 
-    Verdicts come back by doc_id; rows that share a doc_id stay only if all of them are kept.
+    Verdicts come back by doc_id, as the ids to leave out; rows that share a doc_id stay only if
+    all of them are kept.
     """
-    verdicts = judge(docs, **options).groupBy("doc_id").agg(F.min("kept").alias("__kept"))
-    verdicts = verdicts.filter("__kept").select(F.col("doc_id").alias("__doc_id"))
-    return docs.join(verdicts, F.col("doc_id").eqNullSafe(F.col("__doc_id")), "left_semi")
+    gone = judge(docs, **options).filter("not kept").select(F.col("doc_id").alias("__doc_id")).distinct()
+    gone = sized(settle(gone))
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__doc_id")), "left_anti")
 
 
 def op8_robust_rules(spark, folder):
