@@ -1,14 +1,61 @@
-"""From documents to token files in five stages."""
+"""From documents to token files: quality rules, near copies, benchmark leaks, mixing, token ids.
+
+Each stage takes all that the one before kept, written as Parquet and read again, so a lost
+executor or a restart costs one stage at most.
+"""
 
 from __future__ import annotations
 
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from tillwise.llm import decontaminate, group_join, mixing, rules, token_files
+from tillwise.sources.shared import shared_folder
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the outlier rule keep."""
+    return rules.clean(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies."""
+    return group_join.representatives(docs)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of a benchmark item."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the curriculum takes, once per copy, in training order."""
+    return mixing.mix(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of each row's ids, as read back from the token files."""
+    return token_files.digests(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_copies", near_copies),
+    ("benchmark_leaks", benchmark_leaks),
+    ("mixed_sources", mixed_sources),
+    ("token_ids", token_ids),
+]
+
+#: Robust estimates and token ids are not expressible in SQL; tests/llm has a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows: ``doc_id``, ``start``, ``n_tokens``, ``ids_crc32``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
