@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
-from tillwise.llm import decontaminate, group_join, html_text, mixing, quality_gam, rules, secrets, token_files
+from tillwise.llm import (
+    attention_lm,
+    decontaminate,
+    group_join,
+    html_text,
+    mixing,
+    quality_gam,
+    rules,
+    secrets,
+    token_files,
+)
 
 QUERIES = {
     "op1_range_ans": token_files.op1_range_ans,
     "op2_curriculum_mix": mixing.op2_curriculum_mix,
     "op3_template_extract": html_text.op3_template_extract,
+    "op4_attention_score": attention_lm.op4_attention_score,
     "op6_gam_quality": quality_gam.op6_gam_quality,
     "op7_wu_manber": decontaminate.op7_wu_manber,
     "op8_robust_rules": rules.op8_robust_rules,
