@@ -11,6 +11,7 @@ from tillwise.llm import (
     quality_gam,
     rules,
     secrets,
+    suffix_dedup,
     token_files,
 )
 
@@ -19,6 +20,7 @@ QUERIES = {
     "op2_curriculum_mix": mixing.op2_curriculum_mix,
     "op3_template_extract": html_text.op3_template_extract,
     "op4_attention_score": attention_lm.op4_attention_score,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_gam_quality": quality_gam.op6_gam_quality,
     "op7_wu_manber": decontaminate.op7_wu_manber,
     "op8_robust_rules": rules.op8_robust_rules,
