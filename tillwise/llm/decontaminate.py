@@ -112,7 +112,7 @@ class Patterns:
                 owners.setdefault(string, set()).add(item)
                 lengths[string] = size
         strings = sorted(owners)
-        self.owners = [sorted(owners[s]) for s in strings]
+        self.owners = [sorted(owners[s] - {None}) for s in strings]
         self.sizes = [lengths[s] for s in strings]
         self.sets = []
         # Short strings would shorten every shift: they get tables of their own.
