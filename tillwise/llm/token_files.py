@@ -2,8 +2,8 @@
 
 Documents are range-partitioned and sorted by doc_id, turned into token ids, and cut into blocks
 of whole documents.  A first pass counts all ids; the counts, scaled to 2^20, are the static
-table shared by all blocks.  Symbol j of a block goes to lane j mod 256; each lane is a rANS
-state of 64 bits that gives off 32 bits at a time into the block's one stream.  Every 256 steps
+table shared by all blocks.  Symbol j of a block goes to lane j mod 1024; each lane is a rANS
+state of 64 bits that gives off 32 bits at a time into the block's one stream.  Every 128 steps
 the block notes all lane states and the place in the stream: decoding starts at all of these
 checkpoints at once.  A checksum of the blob and one of the ids guard each block.
 
@@ -12,7 +12,7 @@ data).  Parts are ascending ranges of doc_id, blocks ascend within a part.  Spar
 makes the folder appear only when whole, whatever executors are lost.
 
 Blob layout, little endian: magic "RANS1", then u32 n_docs, n_tokens, n_words, n_segments; per
-document i64 doc_id, u8 is_null, u32 n_tokens; per segment u32 place, 256 x u64 states; the words
+document i64 doc_id, u8 is_null, u32 n_tokens; per segment u32 place, 1024 x u64 states; the words
 (u32); u32 crc32 of the ids as u32; u32 crc32 of all before.
 """
 
@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from tillwise.llm.common import table
 from tillwise.sources.shared import settle, shared_folder
 
-LANES = 256
-SEGMENT_STEPS = 256
+LANES = 1024
+SEGMENT_STEPS = 128
 SCALE_BITS = 20
 BLOCK_TOKENS = 1 << 18
 END_ID = 0
@@ -94,12 +94,13 @@ class TextEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         whole = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.seen, self.flat = _Seen(), np.zeros(0, np.uint32)
+        self.begin = self.length = self.used = np.zeros(0, np.int64)
         self.newline = whole("\n")
         # A tokenizer of another kind is used only as a whole.
         probe = [" thé", " x's", " 12,5", " (Ô)", " ~"]
         parts = [self._plain(p) for p in probe] if self.tokenizer.pre_tokenizer else []
         self.by_words = list(chain(self.newline, self._plain("ab"), *parts)) == whole("\nab" + "".join(probe))
-        self._forget()
 
     def _plain(self, text: str) -> list[int]:
         look = self.tokenizer.model.tokenize
@@ -108,6 +109,8 @@ class TextEncoder:
 
     def _word(self, key: str) -> list[int]:
         """Ids of a key: a word (a space before it), "\\n" and a word, or " " and the first of a text."""
+        if key.isascii() and key.isalpha():
+            return [t.id for t in self.tokenizer.model.tokenize("Ġ" + key)]
         mark = key[:1] if key[:1] in ("\n", " ") else ""
         if not self.PLAIN.fullmatch(key, len(mark)):
             text = key[1:] if mark == " " else key if mark else " " + key
@@ -117,8 +120,38 @@ class TextEncoder:
         return self._plain(" " + key)
 
     def _forget(self):
-        self.seen, self.flat = _Seen(), np.zeros(0, np.uint32)
-        self.begin, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        """Keep the words met more than once, the most frequent half of the table at most."""
+        often = np.flatnonzero(self.used > 1)
+        if len(often) > self.MOST_SEEN // 2:
+            often = np.sort(often[np.argsort(-self.used[often], kind="stable")[: self.MOST_SEEN // 2]])
+        keys = list(self.seen)
+        self.seen = _Seen((keys[i], k) for k, i in enumerate(often.tolist()))
+        self.flat, self.length = self._of(often), self.length[often]
+        self.begin = np.cumsum(self.length) - self.length
+        self.used = np.zeros(len(often), np.int64)
+
+    def _of(self, place: np.ndarray) -> np.ndarray:
+        """The ids of the words at ``place``, one after the other."""
+        length = self.length[place]
+        shift = np.repeat(self.begin[place] - (np.cumsum(length) - length), length)
+        return self.flat[shift + np.arange(len(shift))]
+
+    def _plain(self, text: str) -> list[int]:
+        look = self.tokenizer.model.tokenize
+        pieces = (text,) if text[1:].isalpha() and text[0] == " " else self.PIECES.findall(text)
+        return [t.id for p in pieces for t in look(p.translate(self.BYTES))]
+
+    def _word(self, key: str) -> list[int]:
+        """Ids of a key: a word (a space before it), "\\n" and a word, or " " and the first of a text."""
+        if key.isascii() and key.isalpha():
+            return [t.id for t in self.tokenizer.model.tokenize("Ġ" + key)]
+        mark = key[:1] if key[:1] in ("\n", " ") else ""
+        if not self.PLAIN.fullmatch(key, len(mark)):
+            text = key[1:] if mark == " " else key if mark else " " + key
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        if mark:
+            return (self.newline if mark == "\n" else []) + self._plain(key[1:])
+        return self._plain(" " + key)
 
     def _learn(self):
         new = list(islice(self.seen, len(self.begin), None))
@@ -128,6 +161,7 @@ class TextEncoder:
         self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(length) - length])
         self.length = np.concatenate([self.length, length])
         self.flat = np.concatenate([self.flat, more])
+        self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
 
     def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         out: list = [None] * len(texts)
@@ -150,10 +184,9 @@ class TextEncoder:
                 places.append((i, np.fromiter(map(look, parts), np.int64, len(parts))))
         self._learn()
         for i, place in places:
-            length = self.length[place]
-            stop = np.cumsum(length)
-            shift = np.repeat(self.begin[place] - (stop - length), length)
-            out[i] = self.flat[shift + np.arange(len(shift))]
+            out[i] = self._of(place)
+        if places:
+            self.used += np.bincount(np.concatenate([p for _, p in places]), minlength=len(self.used))
         return out
 
 
@@ -252,15 +285,17 @@ def _pack(documents: list) -> bytes:
     head = [struct.pack("<I", len(documents))]
     head += [struct.pack("<qBI", d or 0, d is None, len(x)) for d, x in documents]
     body = np.concatenate([x for _, x in documents]).astype("<u4")
-    planes = body.view(np.uint8).reshape(-1, 4).T.tobytes()
-    return b"".join(head) + zstandard.ZstdCompressor(level=1).compress(planes)
+    wide = 2 if body.max(initial=0) < 1 << 16 else 4
+    planes = body.astype(f"<u{wide}").view(np.uint8).reshape(-1, wide).T.tobytes()
+    return b"".join(head) + bytes([wide]) + zstandard.ZstdCompressor(level=1).compress(planes)
 
 
 def _unpack(data: bytes) -> list:
     (n,) = struct.unpack_from("<I", data, 0)
     heads = [struct.unpack_from("<qBI", data, 4 + 13 * i) for i in range(n)]
-    planes = zstandard.ZstdDecompressor().decompress(data[4 + 13 * n :])
-    ids = np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+    wide = data[4 + 13 * n]
+    planes = zstandard.ZstdDecompressor().decompress(data[5 + 13 * n :])
+    ids = np.frombuffer(planes, np.uint8).reshape(wide, -1).T.copy().view(f"<u{wide}").ravel()
     parts = np.split(ids, np.cumsum([h[2] for h in heads])[:-1])
     return [(None if h[1] else h[0], p) for h, p in zip(heads, parts)]
 
@@ -273,9 +308,13 @@ def _tokenise(path: str, block_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = per_process(("encoder", path), lambda: TextEncoder(path))
         part, block = TaskContext.get().partitionId(), 0
-        documents, size = [], 0
+        documents, size, counts = [], 0, np.zeros(0, np.int64)
 
         def full():
+            nonlocal counts
+            more = np.bincount(np.concatenate([x for _, x in documents]), minlength=len(counts))
+            more[: len(counts)] += counts
+            counts = more
             row = [[part], [block], [size], [_pack(documents)]]
             types_ = [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, types_)], names=_NAMES)
@@ -292,20 +331,21 @@ def _tokenise(path: str, block_tokens: int):
                         documents, size, block = [], 0, block + 1
         if documents:
             yield full()
+        # A last row without tokens: the counts of all ids of the task.
+        data = zlib.compress(counts.astype("<i8").tobytes())
+        row = [[part], [-1], [0], [data]]
+        types_ = [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, types_)], names=_NAMES)
 
     return run
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(0, np.int64)
     for batch in batches:
         for data in batch.column("data"):
-            for _, ids in _unpack(data.as_py()):
-                more = np.bincount(ids, minlength=len(counts))
-                more[: len(counts)] += counts
-                counts = more
-    used = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], names=["token", "n"])
+            counts = np.frombuffer(zlib.decompress(data.as_py()), "<i8")
+            used = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], names=["token", "n"])
 
 
 def _coder(shared) -> Coder:
@@ -332,8 +372,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, block_tokens: int
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
     ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     ordered = ordered.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
-    raw = settle(ordered.mapInArrow(_tokenise(tokenizer, block_tokens), BLOCKS))
-    counts = raw.select("data").mapInArrow(_count, "token bigint, n bigint")
+    stored = settle(ordered.mapInArrow(_tokenise(tokenizer, block_tokens), BLOCKS))
+    raw, counts = stored.filter("block >= 0"), stored.filter("block < 0").select("data")
+    counts = counts.mapInArrow(_count, "token bigint, n bigint")
     counts = counts.groupBy("token").agg(F.sum("n").alias("n")).collect()
     seen = np.zeros(max([r["token"] for r in counts], default=0) + 1, np.int64)
     for r in counts:
