@@ -137,7 +137,7 @@ RELATIONS = {
         SELECT period, business_name AS merchant_name,
                platform_total / nullif(total_order, 0) AS share, platform_total / 100 AS platform,
                other_total / 100 AS other, total_order / 100 AS total
-        FROM sales_a WHERE platform_total <= total_order AND total_order <> 0
+        FROM sales_a WHERE platform_total / nullif(total_order, 0) <= 1
         UNION ALL BY NAME
         SELECT period, merchant_name, share, own AS platform, pos - own AS other, pos AS total
         FROM totals_b WHERE share <= 1""",
@@ -245,9 +245,11 @@ def _customer_report(lives: str) -> str:
                      count(user_id) FILTER (WHERE n = 1) AS single,
                      avg(n) FILTER (WHERE n > 1) AS orders_each,
                      sum(revenue) FILTER (WHERE n > 1) AS many_sum,
-                     sum(revenue) FILTER (WHERE n = 1) AS single_sum
+                     sum(revenue) FILTER (WHERE n = 1) AS single_sum,
+                     count(*) FILTER (WHERE n > 1) AS many_rows,
+                     count(*) FILTER (WHERE n = 1) AS single_rows
               FROM {lives} GROUP BY ALL) JOIN labels USING (merchant_name)
-        WHERE many > 0 AND single > 0"""
+        WHERE many_rows > 0 AND single_rows > 0"""
 
 
 def _rfm_report(picked: str) -> str:
@@ -255,7 +257,7 @@ def _rfm_report(picked: str) -> str:
         SELECT merchant_name, merchant_label, round(share, 6) AS overall_share_per_merchant,
                recency, frequency, round(monetary, 2) AS monetary, r AS r_quartile,
                f AS f_quartile, m AS m_quartile, '' || r || f || m AS rfm_score,
-               round((114 * r + 141 * f + 148 * m) / (4 * 403), 6) AS weighted_rfm
+               round((0.28287841191067 * r + 0.34987593052109184 * f + 0.3672456575682382 * m) / 4, 6) AS weighted_rfm
         FROM scores JOIN labels USING (merchant_name) WHERE merchant_name IN (FROM {picked})"""
 
 

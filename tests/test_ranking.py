@@ -28,26 +28,33 @@ ORDERS = {
 }
 
 
+def _one_window(df):
+    from pyspark.sql import Window as W
+
+    from tillwise.functions.ranking import _sorting
+
+    for name, keys in ORDERS.items():
+        df = df.withColumn(name, F.row_number().over(W.orderBy(*_sorting(keys))))
+    return df
+
+
 @pytest.mark.parametrize("n", [0, 1, 3, 500])
-@pytest.mark.parametrize("slices", [2, 16])
-def test_slices_equal_one_window(spark, n, slices):
+@pytest.mark.parametrize("apart", [True, False])
+def test_numbers_equal_one_window(spark, conf, n, apart):
+    conf("spark.sql.adaptive.coalescePartitions.enabled", str(not apart).lower())
     df = _frame(spark, n, seed=n)
-    whole, total = number_rows(df, ORDERS)
-    sliced, same = number_rows(df, ORDERS, one_task_rows=-1, slices=slices)
-    assert total == same == n
-    assert sorted(whole.collect()) == sorted(sliced.collect())
-    if n > 1:
-        assert "SinglePartition" in plan(whole)
-        assert "SinglePartition" not in plan(sliced)
+    numbered, total = number_rows(df, ORDERS)
+    assert total == n
+    assert sorted(numbered.collect()) == sorted(_one_window(df).collect())
 
 
-def test_hot_value_is_split_over_slices(spark):
+def test_hot_value_is_split_over_partitions(spark, conf):
     """Nine tenths of the rows share one value; the name splits them."""
+    conf("spark.sql.adaptive.coalescePartitions.enabled", "false")
     df = _frame(spark, 2000, seed=5, hot=0.9)
-    sliced, _ = number_rows(df, {"up": ORDERS["up"]}, one_task_rows=10, slices=16)
-    text = plan(sliced)
-    assert "hashpartitioning(__slice_up" in text
-    numbers = [r["up"] for r in sliced.orderBy("up").collect()]
+    numbered, _ = number_rows(df, {"up": ORDERS["up"]})
+    assert "hashpartitioning(__part_up" in plan(numbered)
+    numbers = [r["up"] for r in numbered.orderBy("up").collect()]
     assert numbers == list(range(1, 2001))
 
 

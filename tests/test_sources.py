@@ -1,5 +1,6 @@
 """Readers, writers and the shared folder."""
 
+import os
 from datetime import datetime
 
 import pytest
@@ -112,5 +113,30 @@ def test_reusable_stores_only_what_costs_to_repeat(spark, conf):
     counted = stored.groupBy("k").count()
     assert "Aggregate" not in plan(shared.reusable(counted))
     assert rows(shared.reusable(counted)) == rows(counted)
-    conf("spark.sql.autoBroadcastJoinThreshold", "10000000")
-    assert shared.reusable(counted) is counted
+
+
+def test_release_removes_what_was_stored_and_nothing_else(spark, tmp_path):
+    shared.release(spark)
+    other = str(tmp_path / "other")
+    spark.range(3).write.parquet(other)
+    stored = shared.settle(spark.range(5))
+    assert stored.count() == 5
+    path = stored.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.exists(path)
+    assert shared.release(spark) == 1 and shared.release(spark) == 0
+    assert not os.path.exists(path) and spark.read.parquet(other).count() == 3
+
+
+def test_only_plain_local_masters_get_a_folder_of_their_own(monkeypatch):
+    class Session:
+        def __init__(self, master):
+            self.conf = {"spark.master": master, "spark.app.id": "a"}
+
+    monkeypatch.setattr(shared.tempfile, "mkdtemp", lambda prefix: "/made")
+    monkeypatch.setattr(shared.atexit, "register", lambda *a, **b: None)
+    monkeypatch.setattr(shared, "_own_folder", {})
+    for master in ("local", "local[4]", "local[*]"):
+        assert shared.shared_folder(Session(master)) == "/made"
+    for master in ("local-cluster[2,1,512]", "yarn", "spark://local:7077"):
+        with pytest.raises(RuntimeError):
+            shared.shared_folder(Session(master))

@@ -48,10 +48,34 @@ def test_linear_weights(points):
     assert tuple(raw) == pytest.approx(_least_squares(_points(300), False), abs=1e-9)
 
 
-def test_collinear_features_are_refused(spark):
-    df = spark.createDataFrame([(i, i, 5 - i, 0.1 * i) for i in (1, 2, 3, 4)], SCHEMA)
-    with pytest.raises(ValueError, match="collinear"):
-        weights.fit_linear_weights(df)
+def test_collinear_features_get_the_least_norm(spark):
+    data = [(i, i, 5 - i, 0.1 * i * i) for i in (1, 2, 3, 4)]
+    df = spark.createDataFrame(data, SCHEMA)
+    for scaled, fit in ((True, weights.fit_linear_weights), (False, weights.fit_linear_weights_raw)):
+        x, y = np.array([p[:3] for p in data], float), np.array([p[3] for p in data])
+        x, y = x - x.mean(0), y - y.mean()
+        x = x / x.std(0) if scaled else x
+        assert tuple(fit(df).first()) == pytest.approx(np.linalg.lstsq(x, y, rcond=None)[0], abs=1e-9)
+
+
+def test_rows_without_a_share_change_nothing(spark, points):
+    more = points.unionByName(spark.createDataFrame([(4, 1, 4, None)], points.schema))
+    fits = (
+        weights.fit_linear_weights,
+        weights.fit_linear_weights_raw,
+        lambda df: weights.fit_forest_weights(df, trees=5),
+        lambda df: weights.fit_boosted_weights(df, rounds=5),
+    )
+    for fit in fits:
+        assert tuple(fit(more).first()) == pytest.approx(tuple(fit(points).first()))
+
+
+def test_forest_does_not_depend_on_partitions(points):
+    found = {
+        tuple(weights.fit_forest_weights(points.repartition(n), trees=10).first())
+        for n in (1, 3, 8)
+    }
+    assert len(found) == 1
 
 
 def test_no_feature_varies(spark):

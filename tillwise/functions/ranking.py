@@ -1,113 +1,52 @@
 """Row numbers and NTILE over a whole frame without sending it through one task.
 
-A window with no PARTITION BY moves every row to one task.  That is done here only for frames
-counted to be small.  Larger frames are cut into slices along the sort order, numbered slice by
-slice in parallel, and shifted by the number of rows in the slices before.  The cuts are real
-sort keys of sampled rows, so a value shared by many rows is split by the later keys; the last
-key must be unique, which also makes the numbering repeatable.
+A window with no PARTITION BY moves every row to one task.  Here the frame is range-partitioned
+by the sort keys, stored with the number of each row's partition, numbered within partitions in
+parallel, and shifted by the number of rows in the partitions before, of which there is one row
+per partition.  A value shared by many rows is split by the later keys; the last key must be
+unique, which also makes the numbering repeatable.  Small frames become one partition by Spark's
+own adaptive execution; there is no other path.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from datetime import date
-from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SortKeys = Sequence[tuple[str, str]]
+from tillwise.sources.shared import settle
 
-ONE_TASK_ROWS = 1_000_000
-MOST_SLICES = 256
+SortKeys = Sequence[tuple[str, str]]
 
 
 def _sorting(keys: SortKeys) -> list[Column]:
     return [F.col(c).desc() if way == "desc" else F.col(c).asc() for c, way in keys]
 
 
-def _slice_of(cuts: Column, keys: SortKeys) -> Column:
-    """How many cuts sort strictly before the row.  NULLs first ascending, last descending."""
-
-    def before(cut: Column) -> Column:
-        result = F.lit(False)
-        for name, way in reversed(keys):
-            theirs, ours = cut[name], F.col(name)
-            if way == "desc":
-                less = F.coalesce(theirs > ours, theirs.isNotNull() & ours.isNull())
-            else:
-                less = F.coalesce(theirs < ours, theirs.isNull() & ours.isNotNull())
-            result = less | (theirs.eqNullSafe(ours) & result)
-        return result
-
-    return F.size(F.filter(cuts, before))
-
-
-def _cut_rows(df: DataFrame, columns: list[str], slices: int) -> list:
-    """``slices`` rows at most, those of least hash: a bounded, repeatable sample of sort keys."""
-    return df.select(*columns).orderBy(F.xxhash64(*columns)).limit(slices).collect()
-
-
-def _constant(value) -> Column:
-    return F.lit(str(value) if isinstance(value, date) else value)
-
-
-def number_rows(
-    df: DataFrame,
-    orders: Mapping[str, SortKeys],
-    one_task_rows: int = ONE_TASK_ROWS,
-    slices: int | None = None,
-) -> tuple[DataFrame, int]:
+def number_rows(df: DataFrame, orders: Mapping[str, SortKeys]) -> tuple[DataFrame, int]:
     """Add one 1-based row number per entry of ``orders``; also return the row count.
 
-    ``df`` is read up to four times, so pass a stored table (see ``sources.shared.reusable``).
+    NULLs come first in ascending and last in descending order.  ``df`` is read twice for the
+    first order, so pass a stored table (see ``sources.shared.reusable``).
     """
-    total = df.count()
-    if total <= max(one_task_rows, 1):
-        for name, keys in orders.items():
-            df = df.withColumn(name, F.row_number().over(W.orderBy(*_sorting(keys))))
-        return df, total
-
-    if slices is None:
-        slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slices = max(2, min(slices, MOST_SLICES))
-    types = dict(df.dtypes)
-    columns = list(dict.fromkeys(c for keys in orders.values() for c, _ in keys))
-    cuts = F.array(
-        *[
-            F.struct(*[_constant(row[c]).cast(types[c]).alias(c) for c in columns])
-            for row in _cut_rows(df, columns, slices)
-        ]
-    )
-    slice_of = {name: _slice_of(cuts, keys) for name, keys in orders.items()}
-    sizes = {
-        (r["order"], r["slice"]): r["rows"]
-        for r in df.select(
-            F.explode(
-                F.array(
-                    *[
-                        F.struct(F.lit(name).alias("order"), place.alias("slice"))
-                        for name, place in slice_of.items()
-                    ]
-                )
-            ).alias("at")
-        )
-        .groupBy("at.order", "at.slice")
-        .agg(F.count("*").alias("rows"))
-        .collect()
-    }
     for name, keys in orders.items():
-        counts = [sizes.get((name, i), 0) for i in range(slices + 1)]
-        earlier = F.array(*[F.lit(n).cast("bigint") for n in accumulate([0] + counts[:-1])])
-        place = f"__slice_{name}"
-        within = F.row_number().over(W.partitionBy(place).orderBy(*_sorting(keys)))
+        part, ahead = f"__part_{name}", f"__ahead_{name}"
+        placed = settle(
+            df.repartitionByRange(*_sorting(keys)).withColumn(part, F.spark_partition_id())
+        )
+        before = F.sum("rows").over(W.orderBy("of").rowsBetween(W.unboundedPreceding, -1))
+        counts = placed.groupBy(F.col(part).alias("of")).agg(F.count("*").alias("rows"))
+        counts = counts.select("of", F.coalesce(before, F.lit(0)).alias(ahead))
+        within = F.row_number().over(W.partitionBy(part).orderBy(*_sorting(keys)))
         df = (
-            df.withColumn(place, slice_of[name])
-            .withColumn(name, within + F.get(earlier, F.col(place)))
-            .drop(place)
+            placed.withColumn(name, within)
+            .join(counts, F.col(part) == F.col("of"))
+            .withColumn(name, F.col(name) + F.col(ahead))
+            .drop(part, ahead, "of")
         )
-    return df, total
+    return df, df.count()
 
 
 def ntile_of(position: Column, total: int, buckets: int) -> Column:

@@ -11,7 +11,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.functions.columns import day, first_id, month, on_days, period, ratio
+from tillwise.functions.columns import day, exact_sum, first_id, month, on_days, period, ratio
 from tillwise.operators.activity import activity_gate, activity_windows
 from tillwise.sources.shared import sized
 
@@ -152,7 +152,7 @@ def pos_totals_by_location_period(
             "merchant_name",
             month(due).alias("month"),
         )
-        .agg(F.sum("payment_details.checks_total_order_sum").alias("total_orders_sum"))
+        .agg(exact_sum("payment_details.checks_total_order_sum").cast("double").alias("total_orders_sum"))
         .select(
             "total_orders_sum", "location_id", "merchant_name", period("month").alias("period")
         )
@@ -183,7 +183,7 @@ def direct_orders_by_location_period(
     return (
         activity_gate(facts, sized(spans), "company_ord_fk", "ordered_on", "company_id")
         .groupBy("location_id", month("ordered_on").alias("month"))
-        .agg(F.sum("calculated_total").alias("monthly_sum"))
+        .agg(exact_sum("calculated_total").alias("monthly_sum"))
         .join(
             live_locations.select(
                 F.col("id").alias("location_id"), F.col("name").alias("location_name")
@@ -191,7 +191,7 @@ def direct_orders_by_location_period(
             "location_id",
         )
         .groupBy("location_id", "location_name", "month")
-        .agg(F.sum("monthly_sum").alias("total_orders_sum"))
+        .agg(F.sum("monthly_sum").cast("double").alias("total_orders_sum"))
         .select(
             "location_id", "location_name", "total_orders_sum", period("month").alias("period")
         )

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.functions.columns import day, month, named, period
+from tillwise.functions.columns import day, exact_sum, month, named, period
 from tillwise.sources.shared import sized
 
 
@@ -63,7 +63,7 @@ def cohort_activity_matrix(
             F.col("company_ord_fk").alias("company_id"),
             month("created_at").alias("order_month"),
         )
-        .agg(F.sum("calculated_total").alias("revenue"))
+        .agg(exact_sum("calculated_total").alias("revenue"))
     )
     return (
         monthly.join(first_activity, ["user_id", "company_id"])
@@ -72,7 +72,7 @@ def cohort_activity_matrix(
         )
         .agg(
             F.count_distinct("user_id").alias("active_customers"),
-            F.sum("revenue").alias("total_revenue"),
+            F.sum("revenue").cast("double").alias("total_revenue"),
         )
         .select(
             "merchant_name",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillwise.functions.columns import exact_sum
 from tillwise.sources.shared import sized
 
 
@@ -81,7 +82,7 @@ def customer_lifetime(customer_orders: DataFrame) -> DataFrame:
     return customer_orders.groupBy("user_id", "merchant_name").agg(
         F.min("created_at").alias("first_order_date"),
         F.max("created_at").alias("last_order_date"),
-        F.sum("order_total").alias("total_revenue"),
+        exact_sum("order_total").cast("double").alias("total_revenue"),
         F.max("order_count").alias("total_orders"),
     )
 
@@ -100,7 +101,7 @@ def lifetime_of_orders(
         chosen,
         F.min("created_at").alias("first"),
         F.max("created_at").alias("last"),
-        F.sum("order_total").alias("revenue"),
+        exact_sum("order_total").alias("revenue"),
         F.count("id").alias("n"),
     )
     return (
@@ -109,7 +110,7 @@ def lifetime_of_orders(
         .agg(
             F.min("first").alias("first_order_date"),
             F.max("last").alias("last_order_date"),
-            F.sum("revenue").alias("total_revenue"),
+            F.sum("revenue").cast("double").alias("total_revenue"),
             F.max("n").alias("total_orders"),
         )
     )

@@ -11,7 +11,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.functions.columns import named
+from tillwise.functions.columns import exact_sum, named
 from tillwise.sources.shared import sized
 
 
@@ -102,14 +102,14 @@ def category_popularity(
         .groupBy("company_ord_fk", "category")
         .agg(
             F.sum("n").alias("n"),
-            F.sum(F.col("price") * F.col("n")).alias("worth"),
+            exact_sum(F.col("price").cast("decimal(18,8)") * F.col("n")).alias("worth"),
             F.sum(priced).alias("priced"),
         )
         .join(merchants, "company_ord_fk")
         .groupBy("merchant_name", "category")
         .agg(
             F.sum("n").alias("total_orders"),
-            (F.sum("worth") / F.sum("priced")).alias("average_price"),
+            (F.sum("worth").cast("double") / F.sum("priced")).alias("average_price"),
         )
         .select("merchant_name", label.alias("category_name"), "total_orders", "average_price")
         .orderBy(F.desc("total_orders"), "merchant_name", "category_name")

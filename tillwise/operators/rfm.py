@@ -8,8 +8,8 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.functions.columns import day
-from tillwise.functions.ranking import ONE_TASK_ROWS, ntile_of, number_rows
+from tillwise.functions.columns import day, exact_sum
+from tillwise.functions.ranking import ntile_of, number_rows
 from tillwise.operators.segments import SHARE
 from tillwise.operators.weights import weighted_sum
 from tillwise.sources.shared import reusable
@@ -37,7 +37,7 @@ def rfm_base(
         .agg(
             F.max("created_at").alias("last"),
             F.count("id").alias("n"),
-            F.sum("calculated_total").alias("worth"),
+            exact_sum("calculated_total").alias("worth"),
         )
     )
     return (
@@ -47,7 +47,7 @@ def rfm_base(
         .agg(
             F.max("last").alias("last_order_date"),
             F.sum("n").alias("frequency"),
-            F.sum("worth").alias("monetary"),
+            F.sum("worth").cast("double").alias("monetary"),
         )
         .filter(F.col("monetary") != 0)
         .select(
@@ -65,7 +65,6 @@ def rfm_quartiles(
     rfm_base: DataFrame,
     buckets: int = 4,
     m_by: str = SHARE,
-    one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
     """Add NTILE scores; the highest is the most recent, most frequent, highest ``m_by``.
 
@@ -77,7 +76,7 @@ def rfm_quartiles(
         "f_quartile": [("frequency", "asc"), name],
         "m_quartile": [(m_by, "asc"), name],
     }
-    ranked, total = number_rows(reusable(rfm_base), scores, one_task_rows)
+    ranked, total = number_rows(reusable(rfm_base), scores)
     return ranked.select(
         *rfm_base.columns, *[ntile_of(F.col(s), total, buckets).alias(s) for s in scores]
     )

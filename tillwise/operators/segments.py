@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.functions.columns import ratio
-from tillwise.functions.ranking import ONE_TASK_ROWS, ntile_of, number_rows
+from tillwise.functions.ranking import ntile_of, number_rows
 from tillwise.sources.shared import reusable
 
 SHARE = "overall_share_per_merchant"
@@ -25,29 +25,22 @@ def merchant_totals(sales: DataFrame) -> DataFrame:
     )
 
 
-def top_revenue_quartile(
-    sales: DataFrame, buckets: int = 4, keep: int = 1, one_task_rows: int = ONE_TASK_ROWS
-) -> DataFrame:
+def top_revenue_quartile(sales: DataFrame, buckets: int = 4, keep: int = 1) -> DataFrame:
     """Totals of the merchants in NTILE bucket ``keep`` of ``buckets``, largest revenue first."""
     ranked, total = number_rows(
         reusable(merchant_totals(sales)),
         {"place": [("total_revenue", "desc"), ("merchant_name", "asc")]},
-        one_task_rows,
     )
     return ranked.filter(ntile_of(F.col("place"), total, buckets) == keep).drop("place")
 
 
 def anonymize_by_rank(
-    segment: DataFrame,
-    by: str = SHARE,
-    prefix: str = "Merchant ",
-    one_task_rows: int = ONE_TASK_ROWS,
+    segment: DataFrame, by: str = SHARE, prefix: str = "Merchant "
 ) -> DataFrame:
     """Label each merchant with its rank by ``by``, highest first."""
     ranked, _ = number_rows(
         reusable(segment.select("merchant_name", by)),
         {"place": [(by, "desc"), ("merchant_name", "asc")]},
-        one_task_rows,
     )
     return ranked.select(
         "merchant_name", F.concat(F.lit(prefix), F.col("place")).alias("merchant_label")

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,8 +67,7 @@ def _cells(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     vectors = VectorAssembler(inputCols=list(features), outputCol="features")
     return settle(
         vectors.transform(
-            df.filter(F.col(label).isNotNull())
-            .groupBy(*features)
+            df.groupBy(*features)
             .agg(
                 F.avg(F.col(label).cast("double")).alias("label"),
                 F.count("*").cast("double").alias("rows"),
@@ -77,47 +76,40 @@ def _cells(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     )
 
 
+def _labelled(df: DataFrame, label: str) -> DataFrame:
+    """The rows a fit learns from: those with a label."""
+    return df.filter(F.col(label).isNotNull())
+
+
 def fit_linear_weights_raw(
     df: DataFrame, features: Sequence[str] = FEATURES, label: str = LABEL
 ) -> DataFrame:
     """Least-squares coefficients of ``label`` on ``features``, as they are.
 
-    A constant feature gets weight 0.  Features that determine each other have no single
-    solution and raise ``ValueError``.
+    All comes from one aggregate of second moments.  Where features determine each other, the
+    solution of least norm is given; a constant feature gets weight 0.  Rows without a label are
+    left out; without rows all weights are 0.
     """
-    df = reusable(df)
-    pairs = [(i, j) for i in range(len(features)) for j in range(i)]
-    stats = df.agg(
-        F.count("*").alias("rows"),
-        *[F.stddev_pop(c).alias(f"dev_{i}") for i, c in enumerate(features)],
-        *[F.covar_pop(features[i], features[j]).alias(f"cov_{i}_{j}") for i, j in pairs],
-    ).first()
-    varied = [i for i in range(len(features)) if (stats[f"dev_{i}"] or 0.0) > 1e-12]
-    if not varied:
-        return _row(df, [0.0] * len(features))
-
-    def corr(i, j):
-        i, j = max(i, j), min(i, j)
-        if i == j:
-            return 1.0
-        return stats[f"cov_{i}_{j}"] / (stats[f"dev_{i}"] * stats[f"dev_{j}"])
-
-    if np.linalg.det([[corr(i, j) for j in varied] for i in varied]) < 1e-9:
-        raise ValueError(f"features {list(features)} are collinear; no unique weights exist")
-    model = LinearRegression(solver="normal", regParam=0.0, weightCol="rows").fit(
-        _cells(df, [features[i] for i in varied], label)
+    names = [*features, label]
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1)]
+    stats = (
+        _labelled(df, label)
+        .agg(*[F.covar_pop(names[i], names[j]).alias(f"cov_{i}_{j}") for i, j in pairs])
+        .first()
     )
-    found = dict(zip(varied, model.coefficients))
-    return _row(df, [found.get(i, 0.0) for i in range(len(features))])
+    cov = np.zeros((len(names), len(names)))
+    for i, j in pairs:
+        cov[i, j] = cov[j, i] = stats[f"cov_{i}_{j}"] or 0.0
+    n = len(features)
+    return _row(df, np.linalg.pinv(cov[:n, :n], rcond=1e-10, hermitian=True) @ cov[:n, n])
 
 
 def fit_linear_weights(
     df: DataFrame, features: Sequence[str] = FEATURES, label: str = LABEL
 ) -> DataFrame:
     """Least-squares coefficients on standardized features."""
-    return fit_linear_weights_raw(
-        standardize(reusable(df), features), [f"{c}_z" for c in features], label
-    )
+    scaled = standardize(reusable(_labelled(df, label)), features)
+    return fit_linear_weights_raw(scaled, [f"{c}_z" for c in features], label)
 
 
 def fit_forest_weights(
@@ -127,15 +119,19 @@ def fit_forest_weights(
     trees: int = 100,
     seed: int = 42,
     depth: int = 9,
+    partitions: int = 64,
 ) -> DataFrame:
     """Feature importances of a random forest that sees all features at every split.
 
-    Three features of four levels each can be split nine times at most, so ``depth`` 9 grows
+    Rows are dealt into ``partitions`` by hash and sorted there, so that the draws do not depend
+    on how the frame was partitioned before.  Rows without a label are left out.  Three features of four levels each can be split nine times at most, so ``depth`` 9 grows
     the trees in full.
     """
+    keys = [*features, label]
+    dealt = _labelled(df, label).select(*keys).repartition(partitions, *keys)
     model = RandomForestRegressor(
         numTrees=trees, seed=seed, featureSubsetStrategy="all", maxDepth=depth
-    ).fit(_rows(reusable(df), features, label))
+    ).fit(_rows(dealt.sortWithinPartitions(*keys), features, label))
     return _row(df, model.featureImportances.toArray())
 
 
@@ -153,7 +149,7 @@ def fit_boosted_weights(
 
     ``min_gain`` keeps rounding errors from passing as gains.
     """
-    df, z = reusable(df), [f"{c}_z" for c in features]
+    df, z = reusable(_labelled(df, label)), [f"{c}_z" for c in features]
     model = GBTRegressor(
         maxDepth=depth,
         stepSize=eta,

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tillwise.functions.columns import channel_flag, day, month, named, period
+from tillwise.functions.columns import channel_flag, day, exact_sum, month, named, period
 from tillwise.operators import activity, channels, cohorts, customers, rfm, segments, weights
 from tillwise.sources.shared import reusable, settle
 
@@ -203,7 +203,7 @@ def cohort_report(
             month("created_at").alias("order_month"),
         )
         .agg(
-            F.sum("calculated_total").alias("total_revenue"),
+            exact_sum("calculated_total").alias("total_revenue"),
             F.min(day("created_at")).alias("first_in_month"),
         )
     )
@@ -216,7 +216,7 @@ def cohort_report(
         .groupBy("merchant_name", "cohort_period", "order_month")
         .agg(
             F.count_distinct("user_id").alias("active_customers"),
-            F.sum("total_revenue").alias("total_revenue"),
+            F.sum("total_revenue").cast("double").alias("total_revenue"),
         )
     )
     return cohorts.cohort_rollup(matrix, min_cohort, label_pattern, yes, no)

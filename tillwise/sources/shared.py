@@ -7,6 +7,9 @@ planner sees its true size, so it is broadcast only within a known bound and shu
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -14,18 +17,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_folder: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode.
+
+    A folder with the scheme ``file`` is taken as named: it may be a mount that all share.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "local")):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.conf.get("spark.app.id", "local")
     if app not in _own_folder:
         _own_folder[app] = tempfile.mkdtemp(prefix="tillwise-")
+        atexit.register(shutil.rmtree, _own_folder[app], ignore_errors=True)
     return _own_folder[app]
 
 
@@ -35,9 +43,23 @@ def settle(df: DataFrame) -> DataFrame:
     app = spark.conf.get("spark.app.id", "local")
     path = f"{shared_folder(spark)}/tillwise/{app}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.setdefault(app, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Remove the tables that this session has stored, and nothing else; return their number.
+
+    Call it when the results that were built on them have been read or written.
+    """
+    paths = _written.pop(spark.conf.get("spark.app.id", "local"), [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+    return len(paths)
+
+
 def _only_scans(plan) -> bool:
     """Is this a scan with at most filters and projections on top?"""
     while plan.children().size() == 1 and plan.nodeName() in ("Filter", "Project"):
@@ -46,20 +68,12 @@ def _only_scans(plan) -> bool:
 
 
 def reusable(df: DataFrame) -> DataFrame:
-    """A frame that will be read several times: stored, unless a stored table already or small.
-
-    Small is judged by all it reads, not by its result.
-    """
-    plan = df._jdf.queryExecution().optimizedPlan()
-    if _only_scans(plan):
-        return df
-    leaves = plan.collectLeaves()
-    read = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-    return df if read <= _threshold(df) else settle(df)
+    """A frame that will be read several times: stored, unless it is a stored table already."""
+    return df if _only_scans(df._jdf.queryExecution().optimizedPlan()) else settle(df)
 
 
 # Bounds under which a stored side is broadcast even above Spark's own threshold: the facts it
-# spares from a shuffle are far larger.
+# spares from a shuffle are far larger.  Bytes are those of the rows as text, not of the file.
 BROADCAST_BYTES = 64 * 1024 * 1024
 BROADCAST_ROWS = 2_000_000
 
@@ -85,6 +99,8 @@ def sized(df: DataFrame) -> DataFrame:
     stored = settle(df)
     size = _estimate(stored)
     if threshold < size <= BROADCAST_BYTES and threshold > 0:
-        if stored.count() <= BROADCAST_ROWS:
+        width = F.sum(F.length(F.to_json(F.struct("*"))) + 32)
+        rows, memory = stored.agg(F.count("*"), width).first()
+        if rows <= BROADCAST_ROWS and (memory or 0) <= BROADCAST_BYTES:
             return F.broadcast(stored)
     return stored
