@@ -6,9 +6,9 @@ round every number in turn gets one shallow tree on the logistic gradients, whic
 to its table; then the pairs that explain most of what is left get their turn in the same way.
 A score is the logistic function of the sum of the looked-up values.
 
-Numbers are computed in one pass over the texts and stored.  Fitting takes at most
-``most_labels`` labelled rows, those of least hash, so it is bounded whatever the input; its
-rows are held as one byte per number.
+Numbers are computed in one pass over the texts and stored.  Fitting takes
+every k-th labelled row by hash, with the least k that leaves about ``most_labels`` at most, so it
+is bounded whatever the input.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tillwise.llm.common import table
 from tillwise.sources.shared import settle
 
-#: Bound on the labelled rows that a model is fitted on.
+#: Bound on the labelled rows that a model is fitted on (in expectation, as they are chosen by hash).
 MOST_LABELS = 100_000
 BINS = 48
 PAIR_BINS = 12
@@ -226,7 +226,9 @@ def train(described_docs: DataFrame, labels: DataFrame, most_labels: int = MOST_
     labels and labels of unknown documents are not used."""
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = known.filter(fold(F.col("doc_id")) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labels)
+    known = known.filter(fold(F.col("doc_id")) != 0)
+    part = max(1, -(-known.count() // most_labels))
+    known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(part)) == 0)
     rows = described_docs.join(known, "doc_id").select("doc_id", "x", "quality")
     rows = rows.toPandas().sort_values(["doc_id", "quality"], kind="stable")
     x = np.array(rows["x"].tolist(), np.float64).reshape(-1, len(NAMES))
