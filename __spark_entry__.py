@@ -37,6 +37,7 @@ AS_OF = date(2001, 9, 1)
 MIN_COHORT = "1996-01"
 LABEL = ("%7%", "Seven", "Not seven")
 RELABEL = {"PROMO": "Promotion", "ECONOMY": "Economy"}
+NAMED = ("Supplier#000000002", "Supplier#000000003", "Supplier#000000007 CHURN")
 
 
 def _inputs(t: SampleTables, stored: bool = False) -> reports.Inputs:
@@ -78,7 +79,23 @@ def orders_by_weekday(t):
     return _shown(profile.orders_by_weekday(t.orders, t.companies))
 
 
+def orders_by_hour_named(t):
+    return _shown(profile.orders_by_hour(t.timed_orders, t.companies, NAMED))
+
+
+def orders_by_weekday_named(t):
+    return _shown(profile.orders_by_weekday(t.orders, t.companies, NAMED))
+
+
 def category_popularity(t):
+    return _categories(t, None)
+
+
+def category_popularity_named(t):
+    return _categories(t, NAMED)
+
+
+def _categories(t, names):
     result = profile.category_popularity(
         t.companies,
         t.orders,
@@ -87,6 +104,7 @@ def category_popularity(t):
         t.products,
         t.categories,
         relabel=RELABEL,
+        names=names,
     )
     return _shown(result, ratios="average_price")
 
@@ -98,6 +116,10 @@ def first_activity(t):
     return _shown(cohorts.first_activity(t.orders, t.companies))
 
 
+def first_activity_named(t):
+    return _shown(cohorts.first_activity(t.orders, t.companies, names=NAMED))
+
+
 def _matrix(t):
     orders = t.stored_orders
     return cohorts.cohort_activity_matrix(orders, cohorts.first_activity(orders, t.companies))
@@ -380,9 +402,13 @@ def weighted_scores_boosted(t):
 
 _QUERIES = (
     orders_by_hour,
+    orders_by_hour_named,
     orders_by_weekday,
+    orders_by_weekday_named,
     category_popularity,
+    category_popularity_named,
     first_activity,
+    first_activity_named,
     cohort_activity_matrix,
     cohort_rollup,
     cohort_report,

@@ -408,6 +408,12 @@ QUERIES = {
         SELECT round(max(wm) / max(score), 6) AS scaled_weight FROM weighted""",
 }
 
+_NAMED = "'Supplier#000000002', 'Supplier#000000003', 'Supplier#000000007 CHURN'"
+QUERIES |= {
+    f"{name}_named": f"SELECT * FROM ({QUERIES[name]}) WHERE merchant_name IN ({_NAMED})"
+    for name in ("orders_by_hour", "orders_by_weekday", "category_popularity", "first_activity")
+}
+
 
 def _text(query: str) -> str:
     def names_in(sql: str) -> set[str]:
