@@ -15,7 +15,7 @@ def _done(orders: DataFrame, status: str) -> DataFrame:
     return orders.filter(F.lower("orderStatus") == status)
 
 
-def _merchants(companies: DataFrame, names: Iterable[str] | None) -> DataFrame:
+def merchants_of(companies: DataFrame, names: Iterable[str] | None) -> DataFrame:
     return (
         companies.filter(named("name", names))
         .select(F.col("id").alias("company_id"), F.col("name").alias("merchant_name"))
@@ -30,7 +30,7 @@ def first_activity(
     names: Iterable[str] | None = None,
 ) -> DataFrame:
     """Date of the first order with ``status`` (lower case) per user and merchant."""
-    merchants = _merchants(companies, names)
+    merchants = merchants_of(companies, names)
     done = _done(orders, status).select(
         F.col("user_id_fk").alias("user_id"),
         F.col("company_ord_fk").alias("company_id"),

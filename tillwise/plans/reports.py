@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tillwise.functions.columns import channel_flag, day, exact_sum, month, named, period
+from tillwise.functions.columns import channel_flag, day, exact_sum, month, period
 from tillwise.operators import activity, channels, cohorts, customers, rfm, segments, weights
 from tillwise.sources.shared import reusable, settle
 
@@ -150,13 +150,31 @@ def rfm_scores(
 
 
 def all_reports(t: Inputs, as_of: date | None = None, k: int = 10) -> dict[str, DataFrame]:
-    """The three reports for the best and the worst merchants, over monthly sales taken once."""
+    """The three reports for the best and the worst merchants.
+
+    Monthly sales, the segment, the customers of both picks and the scores are taken once each;
+    the two sides are filters on them.
+    """
     sales = settle(monthly_sales(t))
+    merchants = settle(segments.top_revenue_quartile(sales))
+    labels = settle(segments.anonymize_by_rank(merchants))
+    picks = {
+        side: settle(segments.pick_k(merchants, k=k, descending=side == "top"))
+        for side in ("top", "bottom")
+    }
+    both = picks["top"].union(picks["bottom"]).distinct()
+    kinds = settle(
+        customers.customer_kinds(customers.lifetime_of_orders(t.orders, t.companies, both))
+    )
+    quartiles = settle(rfm.rfm_quartiles(rfm.rfm_base(merchants, t.companies, t.orders, as_of)))
     reports = {}
-    for side, descending in (("top", True), ("bottom", False)):
-        reports[f"channel_split_{side}"] = channel_split(t, descending, k, sales)
-        reports[f"repeat_vs_first_time_{side}"] = repeat_vs_first_time(t, descending, k, sales)
-        reports[f"rfm_scores_{side}"] = rfm_scores(t, as_of, descending, k, sales=sales)
+    for side, picked in picks.items():
+        mine = kinds.join(picked, "merchant_name", "left_semi")
+        reports[f"channel_split_{side}"] = segments.channel_split_report(sales, labels, picked)
+        reports[f"repeat_vs_first_time_{side}"] = customers.repeat_vs_first_time_report(
+            customers.repeat_side(mine), customers.first_time_side(mine), labels
+        )
+        reports[f"rfm_scores_{side}"] = rfm.rfm_report(quartiles, labels, picked)
     return reports
 
 
@@ -184,17 +202,13 @@ def cohort_report(
     names: Iterable[str] | None = None,
     status: str = "completed",
 ) -> DataFrame:
-    """Cohorts in one pass over the orders.
+    """Cohorts from one scan of the orders.
 
     The same result as ``first_activity``, ``cohort_activity_matrix`` and ``cohort_rollup``.
     Orders are reduced to months per user and merchant, and the first date is the least over
-    those months, so the orders are read and shuffled once.
+    those months, so the orders are read once and shuffled after that reduction only.
     """
-    merchants = (
-        companies.filter(named("name", names))
-        .select(F.col("id").alias("company_id"), F.col("name").alias("merchant_name"))
-        .distinct()
-    )
+    merchants = cohorts.merchants_of(companies, names)
     monthly = (
         orders.filter((F.lower("orderStatus") == status) & F.col("user_id_fk").isNotNull())
         .groupBy(

@@ -1,4 +1,4 @@
-"""A session with the settings the operators are tested under."""
+"""A session with the settings that the bench uses."""
 
 from __future__ import annotations
 
