@@ -43,9 +43,9 @@ SINGLE = 128
 WIDTH = 16
 HIDDEN = 32
 BLOCK = 16
-CHUNK = 512
+CHUNK = 128
 RATE = 0.01
-#: Texts and ids of the first fit, at most; the bound of what the driver trains on.
+#: Texts of the first fit, about, and its ids, at most: the bound of what the driver trains on.
 FIRST_TEXTS = 3000
 FIRST_IDS = 3_000_000
 FIRST_STEPS = 1500
@@ -210,23 +210,25 @@ def forward(w: dict, prior: np.ndarray, inputs: np.ndarray, first: np.ndarray, k
     before[first, 0] = 0
     z = prior[(before * CLASSES + inputs).ravel()]
     z += g @ w["U"]
-    z += w["u"]
+    if "u" in w:
+        z += w["u"]
     return z
 
 
 def log_probability(w: dict, prior: np.ndarray, inputs, targets, first) -> np.ndarray:
     """ln P(class | context) of each position, block by block."""
     out = np.zeros(targets.shape, np.float32)
+    ones = np.ones(CLASSES, prior.dtype)
     for at in range(0, len(inputs), CHUNK):
         # One block more in front gives the context of the first; it is scored in its own chunk.
         low = max(0, at - 1)
-        starts = first[low : at + CHUNK].copy()
+        starts = first[low : at + CHUNK]
         z = forward(w, prior, inputs[low : at + CHUNK], starts)[(at - low) * BLOCK :]
-        z -= z.max()
         here = targets[at : at + CHUNK].ravel()
         picked = z[np.arange(len(here)), here]
-        total = np.exp(z, out=z).sum(1)
-        out[at : at + CHUNK] = (picked - np.log(np.maximum(total, 1e-37))).reshape(-1, BLOCK)
+        # Logits are log-probabilities with a small correction: no shift is needed.
+        total = np.exp(np.minimum(z, 60, out=z), out=z) @ ones
+        out[at : at + CHUNK] = (np.minimum(picked, 60) - np.log(np.maximum(total, 1e-37))).reshape(-1, BLOCK)
     return out
 
 
@@ -331,8 +333,8 @@ def encoded(docs: DataFrame, ranks: str) -> DataFrame:
         words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                few = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 1500):
+                few = batch.slice(at, 1500)
                 texts = few.column("text").to_pylist()
                 held = few.column("held_out").to_pylist()
                 ids = [np.array([*x, END], np.uint16) for x in encode([t or "" for t in texts], num_threads=1)]
@@ -359,7 +361,8 @@ def encoded(docs: DataFrame, ranks: str) -> DataFrame:
 
 
 def _ids(data) -> np.ndarray:
-    raw = zstandard.ZstdDecompressor().decompress(data.as_py())
+    unpack = per_process("unpack", lambda: zstandard.ZstdDecompressor().decompress)
+    raw = unpack(data.as_py())
     return np.frombuffer(raw, np.uint8).reshape(2, -1).T.copy().view(np.uint16).ravel().astype(np.int64)
 
 
@@ -418,7 +421,8 @@ def fit(documents: DataFrame, known: Counts) -> dict[str, np.ndarray]:
     """Weights from the training documents' ids."""
     kind, prior = known.kind, known.prior
     learned = documents.filter("not held_out")
-    first = learned.orderBy(F.xxhash64("doc_id", "print"), "doc_id", "print").limit(FIRST_TEXTS).select("ids")
+    part = max(1, learned.count() // FIRST_TEXTS)
+    first = learned.filter(F.pmod(F.xxhash64("doc_id", "print", F.lit("first")), F.lit(part)) == 0).select("ids")
     texts: list[np.ndarray] = []
     size = 0
     for r in first.toLocalIterator():
@@ -466,9 +470,12 @@ def model_scores(documents: DataFrame, w: dict, known: Counts) -> DataFrame:
     """``doc_id``, ``print`` and ``score`` (log10 of the text's probability)."""
     shared = documents.sparkSession.sparkContext.broadcast(known.__dict__)
 
+    w, last_bias = {k: v for k, v in w.items() if k != "u"}, w["u"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Counts.__new__(Counts)
         known.__dict__.update(shared.value)
+        known.prior = known.prior + last_bias
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 few = batch.slice(at, 200)
