@@ -179,6 +179,14 @@ def test_html(spark):
         assert r.text == "\n\n".join(html.unescape(x) for x in expected if x)
 
 
+def test_html_template_inside_the_article(spark):
+    page = "<html><body><article><h1>Title {0}</h1><p>Read <b>more</b> from us!</p><p>Prose {0}</p>{1}</article></body></html>"
+    rows = [(i, f"http://h.example/{i}", page.format(i, "<p>Said twice</p>" if i < 2 else "")) for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in html_text.main_text(df).collect()}
+    assert got[0] == "Title 0\n\nProse 0\n\nSaid twice" and got[5] == "Title 5\n\nProse 5"
+
+
 # 4
 
 

@@ -142,7 +142,7 @@ def tokens(page: str | None) -> dict[int, list]:
     for kind, node, text, linked in read(page):
         if kind == "tag":
             k, row = _key(node.path), [node.path, node.path.rpartition(">")[0], False, 0]
-        elif kind == "text" and not text.isspace() and not node.content:
+        elif kind == "text" and not text.isspace():
             k, row = _key(node.path, _plain(text)), [node.path, node.path, True, 0]
         else:
             continue
@@ -151,11 +151,11 @@ def tokens(page: str | None) -> dict[int, list]:
 
 
 def extract(page: str | None, constant: frozenset[int] = frozenset(), known: frozenset[int] = frozenset()) -> str:
-    """The blocks of the slots that remain.
+    """The blocks of the slots that remain, without the ``constant`` text nodes of the template.
 
     If some element says that it holds the article, slots inside such elements; else all slots
-    that no rule leaves out, without the ``constant`` text nodes of the template.  ``known`` are
-    the template's roles: elsewhere, text consisting of links only is a list of links, not prose.
+    that no rule leaves out.  ``known`` are the template's roles: outside of such elements, text
+    in them consisting of links only is a list of links, not prose.
     """
     chosen: list[list] = []
     current: list = []
@@ -176,11 +176,10 @@ def extract(page: str | None, constant: frozenset[int] = frozenset(), known: fro
         plain = _plain("".join(t for _, t, _ in block))
         if not plain:
             continue
-        if not marked:
-            if all(_key(node.path, _plain(t)) in constant for _, t, _ in block if not t.isspace()):
-                continue
-            if _key(node.path) in known and all(linked for _, t, linked in block if not t.isspace()):
-                continue
+        if all(_key(node.path, _plain(t)) in constant for _, t, _ in block if not t.isspace()):
+            continue
+        if not marked and _key(node.path) in known and all(linked for _, t, linked in block if not t.isspace()):
+            continue
         out.append(plain)
     return "\n\n".join(out)
 
