@@ -333,6 +333,21 @@ def test_robust_estimate(spark):
     assert theirs[:60].min() > rules.CUT > theirs[60:].max()
 
 
+def test_each_statistic_rejects_alone(spark):
+    assert math.isclose(rules.chi_square_quantile(0.999, 5), 20.515, abs_tol=1e-3)
+    assert math.isclose(rules.cut_at(0.999, 1.0), 20.515, abs_tol=1e-3) and math.isclose(rules.CUT, 28.9, abs_tol=0.5)
+    prose = lambda i: "\n".join(f"W{i} some words{k} stand{i} here{k}" for k in range(40))
+    rows = [(i, prose(i), "en", "a") for i in range(300)]
+    same = "\n".join(["same"] + [f"W{k} some words{k} stand{k} here{k}\nsame" for k in range(60)])
+    again = " ".join(f"V{k} some words{k} standing here{k}" for k in range(40))
+    odd = {1000: same, 1001: again + " " + " ".join(again.split()[:18])}
+    df = _framed(spark, [*rows, *[(i, t, "en", "a") for i, t in odd.items()]])
+    got = {r.doc_id: r for r in rules.judge(df).collect()}
+    assert all(got[i].kept for i in range(300))
+    for i in odd:
+        assert not got[i].base_failed and not got[i].kept
+
+
 # 9
 
 

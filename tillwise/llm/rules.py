@@ -14,6 +14,8 @@ all documents.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,13 +27,42 @@ WINDOW = 5
 SUPPORT = 0.75
 STEPS = 4
 LEAST_ROWS = 200
-#: Squared distance above which a document is rejected.
-CUT = 100.0
-#: Each statistic with the least standard deviation it is given, in its own units.
-FLOORS = {"word_length": 0.10, "symbols": 0.04, "dup_lines": 0.10, "repeats": 0.10, "capitals": 0.05}
+#: Share of normal documents that the cut keeps.
+QUANTILE = 0.999
+#: Each statistic with the least standard deviation it is given, in its own units: small enough
+#: that each can reject by itself, also repeats, of which the base rule leaves a fifth at most.
+FLOORS = {"word_length": 0.10, "symbols": 0.04, "dup_lines": 0.10, "repeats": 0.07, "capitals": 0.05}
 UNIT = 1000
 
 
+def chi_square(x: float, df: int) -> float:
+    """Distribution function of chi-square with an odd number of degrees of freedom."""
+    term, total = math.sqrt(2 * x / math.pi) * math.exp(-x / 2), math.erf(math.sqrt(x / 2))
+    for k in range(1, df, 2):
+        total -= term
+        term *= x / (k + 2)
+    return total
+
+
+def chi_square_quantile(share: float, df: int) -> float:
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_square(middle, df) < share else (low, middle)
+    return low
+
+
+def cut_at(quantile: float = QUANTILE, support: float = SUPPORT) -> float:
+    """Squared distance above which a document is rejected: a quantile of chi-square, times the
+    consistency factor of a scatter taken from the ``support`` share of the closest rows."""
+    df = len(FLOORS)
+    kept = chi_square(chi_square_quantile(support, df), df + 2) if support < 1 else 1.0
+    return chi_square_quantile(quantile, df) * support / kept
+
+
+CUT = cut_at()
+
+
 def _let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once, not once per element of inner lambdas."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -168,7 +199,7 @@ def _start(vectors: DataFrame) -> DataFrame:
         vectors.groupBy(*GROUP).agg(*[F.expr(f"percentile({n}, 0.5D)").alias(f"m{i}") for i, n in enumerate(NAMES)])
     )
     spread = [
-        F.expr(f"percentile(cast(round(abs({n} - m{i})) as bigint), 0.5D)").alias(f"a{i}") for i, n in enumerate(NAMES)
+        F.expr(f"percentile(cast(bround(abs({n} - m{i})) as bigint), 0.5D)").alias(f"a{i}") for i, n in enumerate(NAMES)
     ]
     deviations = _with(vectors, medians).groupBy(*GROUP).agg(*spread)
     joined = _with(medians, deviations)
@@ -211,14 +242,15 @@ def estimates(vectors: DataFrame, support: float = SUPPORT, steps: int = STEPS)
     return params
 
 
-def judge(docs: DataFrame, cut: float = CUT, least_rows: int = LEAST_ROWS, **options) -> DataFrame:
+def judge(docs: DataFrame, cut: float | None = None, least_rows: int = LEAST_ROWS, **options) -> DataFrame:
     """One row per document: ``doc_id``, ``stats``, ``distance``, ``base_failed`` and ``kept``.
 
     Base rules: fewer than 10 words, or more than 20 % of the words in repeated windows, fail.
     Null texts have no words.  Null languages and sources form groups.  Documents that fail the
-    base rules are left out of the estimates but still get a distance.  An empty table gives no
-    rows; without a single document that passes the base rules all fail.
+    base rules are left out of the estimates but still get a distance.  ``cut`` is ``cut_at`` of
+    the support unless given.  An empty table gives no rows; without a single document that passes the base rules all fail.
     """
+    cut = cut_at(support=options.get("support", SUPPORT)) if cut is None else cut
     narrow = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), "text")
     stated = settle(statistics(narrow).drop("text"))
     s = F.col("stats")
