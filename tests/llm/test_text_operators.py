@@ -233,6 +233,12 @@ def test_attention_scores(spark, odd, none):
     assert attention_lm.score(none, ranks).count() == 0
 
 
+def test_rounds_hold_every_training_text_once(spark):
+    learned = spark.range(400).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("print"))
+    rounds = [attention_lm.of_round(learned, k).collect() for k in range(attention_lm.ROUNDS)]
+    assert sorted(r.doc_id for rows in rounds for r in rows) == list(range(400)) and all(rounds)
+
+
 # 5
 
 

@@ -10,7 +10,7 @@ Context windows of 32 positions overlap by half: a block of 16 positions is scor
 attends to itself, causally, and to the 16 positions before it, all blocks of a batch in one
 masked attention.  The weights start from a fit on a bounded number of training texts and are
 then refined where the data lie: in each round every task runs gradient steps over its share of
-the training texts, and the weights are averaged by the number of steps.
+the round's training texts, over all rounds each text once, and the weights are averaged by the number of steps.
 
 The base score needs the count of every word in the training texts.  Words that are frequent in
 some task are counted in a table of bounded size; all others, each of which is rare, are
@@ -50,9 +50,8 @@ FIRST_TEXTS = 3000
 FIRST_IDS = 3_000_000
 FIRST_STEPS = 1500
 STEP_BLOCKS = 128
-ROUNDS = 2
-#: One training text in so many is used for gradient steps in each round, chosen by hash.
-SHARE = 40
+#: Rounds of gradient steps; each training text has its round by hash.
+ROUNDS = 8
 #: Weight of the shorter context in the counts of the longer one, for classes and for ids.
 BACK_OFF = 6.0
 ID_BACK_OFF = 2.0
@@ -417,12 +416,19 @@ def counted(documents: DataFrame, kind: np.ndarray) -> tuple[np.ndarray, np.ndar
     return tables[0][: sizes[0]], tables[1][: sizes[1]]
 
 
+def of_round(learned: DataFrame, turn: int) -> DataFrame:
+    """The training documents of a round; the rounds together hold each of them once."""
+    return learned.filter(F.pmod(F.xxhash64("doc_id", "print"), F.lit(ROUNDS)) == turn)
+
+
 def fit(documents: DataFrame, known: Counts) -> dict[str, np.ndarray]:
     """Weights from the training documents' ids."""
     kind, prior = known.kind, known.prior
     learned = documents.filter("not held_out")
     part = max(1, learned.count() // FIRST_TEXTS)
-    first = learned.filter(F.pmod(F.xxhash64("doc_id", "print", F.lit("first")), F.lit(part)) == 0).select("ids")
+    place = F.xxhash64("doc_id", "print", F.lit("first"))
+    # In the order of the hash, so that the end at ``FIRST_IDS`` favours no partition.
+    first = learned.filter(F.pmod(place, F.lit(part)) == 0).orderBy(place).select("ids")
     texts: list[np.ndarray] = []
     size = 0
     for r in first.toLocalIterator():
@@ -435,7 +441,7 @@ def fit(documents: DataFrame, known: Counts) -> dict[str, np.ndarray]:
     shared = documents.sparkSession.sparkContext.broadcast((kind, prior))
     names, sizes = list(SHAPES), [int(np.prod(s)) for s in SHAPES.values()]
     for turn in range(ROUNDS):
-        chosen = learned.filter(F.pmod(F.xxhash64("doc_id", "print"), F.lit(SHARE)) == turn).select("ids")
+        chosen = of_round(learned, turn).select("ids")
         now = {k: v.copy() for k, v in w.items()}
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -443,7 +449,8 @@ def fit(documents: DataFrame, known: Counts) -> dict[str, np.ndarray]:
             mine = {k: v.copy() for k, v in now.items()}
             steps = 0
             for batch in batches:
-                steps += train(mine, prior, _class_texts(batch, kind))
+                for at in range(0, batch.num_rows, 500):
+                    steps += train(mine, prior, _class_texts(batch.slice(at, 500), kind))
             if steps:
                 flat = np.concatenate([mine[k].ravel() for k in names]).astype(np.float64)
                 yield pa.RecordBatch.from_arrays(
