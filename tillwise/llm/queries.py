@@ -7,9 +7,12 @@ from tillwise.llm import (
     decontaminate,
     group_join,
     html_text,
+    line_dedup,
     mixing,
     quality_gam,
+    resample,
     rules,
+    runs,
     secrets,
     suffix_dedup,
     token_files,
@@ -26,10 +29,16 @@ QUERIES = {
     "op8_robust_rules": rules.op8_robust_rules,
     "op9_entropy_secrets": secrets.op9_entropy_secrets,
     "op10_group_join": group_join.op10_group_join,
+    "op11_periodic_runs": runs.op11_periodic_runs,
+    "op12_importance_draw": resample.op12_importance_draw,
+    "op13_line_dedup": line_dedup.op13_line_dedup,
 }
 
 ORACLE_SQL = {
     "op2_curriculum_mix": mixing.OP2_SQL,
     "op7_wu_manber": decontaminate.OP7_SQL,
     "op10_group_join": group_join.OP10_SQL,
+    "op11_periodic_runs": runs.OP11_SQL,
+    "op12_importance_draw": resample.OP12_SQL,
+    "op13_line_dedup": line_dedup.OP13_SQL,
 }
