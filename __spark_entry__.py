@@ -356,12 +356,24 @@ def fit_linear_weights_raw(t):
     return _shown(weights.fit_linear_weights_raw(_quartiles(t)), ratios=_WEIGHTS)
 
 
+def _forest(quartiles):
+    return weights.fit_forest_weights(quartiles, key=["merchant_name"])
+
+
 def fit_forest_weights(t):
-    return weights.fit_forest_weights(_quartiles(t))
+    return _shown(_forest(_quartiles(t)), ratios=_WEIGHTS)
 
 
 def fit_boosted_weights(t):
-    return weights.fit_boosted_weights(_quartiles(t))
+    return _shown(weights.fit_boosted_weights(_quartiles(t)), ratios=_WEIGHTS)
+
+
+def fit_penalized_weights(t):
+    return _shown(weights.fit_penalized_weights(_quartiles(t)), ratios=_WEIGHTS)
+
+
+def boosted_splits(t):
+    return _shown(weights.boosted_splits(_quartiles(t)), ratios="gain")
 
 
 def normalize_to_shares(t):
@@ -393,13 +405,17 @@ def scaled_weight_by_max(t):
 
 
 def weighted_scores_forest(t):
-    return _scores(reports.weighted_scores(_quartiles(t), weights.fit_forest_weights))
+    return _scores(reports.weighted_scores(_quartiles(t), _forest))
 
 
 def weighted_scores_boosted(t):
     return _scores(reports.weighted_scores(_quartiles(t), weights.fit_boosted_weights))
 
 
+def weighted_scores_penalized(t):
+    return _scores(reports.weighted_scores(_quartiles(t), weights.fit_penalized_weights))
+
+
 _QUERIES = (
     orders_by_hour,
     orders_by_hour_named,
@@ -447,12 +463,15 @@ _QUERIES = (
     fit_linear_weights_raw,
     fit_forest_weights,
     fit_boosted_weights,
+    fit_penalized_weights,
+    boosted_splits,
     normalize_to_shares,
     apply_weights,
     normalize_by_max,
     scaled_weight_by_max,
     weighted_scores_forest,
     weighted_scores_boosted,
+    weighted_scores_penalized,
 )
 
 
@@ -472,7 +491,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """The same results in DuckDB SQL over the raw tables; tree models have none."""
+    """The same results in DuckDB SQL over the raw tables."""
     found = oracle_texts()
     if text_queries:
         found |= text_queries.ORACLE_SQL

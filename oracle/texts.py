@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from oracle import trees
+
 # The input tables, from the raw ones; FIXTURES.md section 3.
 RELATIONS = {
     "companies": """
@@ -219,6 +221,7 @@ RELATIONS = {
         SELECT merchant_name, r, f, m, wm, wr * r + wf * f + wm * m AS score
         FROM points, fitted""",
 }
+RELATIONS |= trees.RELATIONS
 
 
 def _split_report(picked: str) -> str:
@@ -408,6 +411,8 @@ QUERIES = {
         SELECT round(max(wm) / max(score), 6) AS scaled_weight FROM weighted""",
 }
 
+QUERIES |= trees.QUERIES
+
 _NAMED = "'Supplier#000000002', 'Supplier#000000003', 'Supplier#000000007 CHURN'"
 QUERIES |= {
     f"{name}_named": f"SELECT * FROM ({QUERIES[name]}) WHERE merchant_name IN ({_NAMED})"

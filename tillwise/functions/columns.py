@@ -62,9 +62,10 @@ def named(name: str, names: Iterable[str] | None) -> Column:
     return F.lit(True) if names is None else F.col(name).isin(list(names))
 
 
-def exact_sum(value: Column | str) -> Column:
-    """Sum in decimals of eight places, so that it does not depend on the order of the rows.
+def exact_sum(value: Column | str, places: int = 8) -> Column:
+    """Sum in decimals of ``places`` places, so that it does not depend on the order of the rows.
 
     The sum stays a decimal: cast it to double once, after the last sum.
     """
-    return F.sum((F.col(value) if isinstance(value, str) else value).cast("decimal(28,8)"))
+    value = F.col(value) if isinstance(value, str) else value
+    return F.sum(value.cast(f"decimal(28,{places})"))

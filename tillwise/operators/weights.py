@@ -1,22 +1,22 @@
 """Weights of the three RFM quartiles, fitted to explain the channel share.
 
-Every fit is a Spark ML job over the whole frame; only the three weights come back, as a
+Every fit is one aggregation of the whole frame; only the three weights come back, as a
 one-row frame (recency, frequency, monetary).  One-row frames enter other frames as scalar
 subqueries, not as joins.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
 
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.sources.shared import reusable, settle
+from tillwise.operators import trees as trees_of
+from tillwise.operators.trees import Boosting
+from tillwise.sources.shared import reusable
 
 FEATURES = ("r_quartile", "f_quartile", "m_quartile")
 LABEL = "overall_share_per_merchant"
@@ -58,24 +58,6 @@ def _rows(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     return vectors.transform(df.select(*features, F.col(label).cast("double").alias("label")))
 
 
-def _cells(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
-    """One row per combination of feature values, with the mean label and the row count.
-
-    Squared-error fits depend on nothing else, so they give the same model on these few rows
-    (64 for three quartiles) as on all rows, however many there are.
-    """
-    vectors = VectorAssembler(inputCols=list(features), outputCol="features")
-    return settle(
-        vectors.transform(
-            df.groupBy(*features)
-            .agg(
-                F.avg(F.col(label).cast("double")).alias("label"),
-                F.count("*").cast("double").alias("rows"),
-            )
-        ).select("features", "label", "rows")
-    )
-
-
 def _labelled(df: DataFrame, label: str) -> DataFrame:
     """The rows a fit learns from: those with a label."""
     return df.filter(F.col(label).isNotNull())
@@ -119,20 +101,77 @@ def fit_forest_weights(
     trees: int = 100,
     seed: int = 42,
     depth: int = 9,
-    partitions: int = 64,
+    key: Sequence[str] | None = None,
 ) -> DataFrame:
     """Feature importances of a random forest that sees all features at every split.
 
-    Rows are dealt into ``partitions`` by hash and sorted there, so that the draws do not depend
-    on how the frame was partitioned before.  Rows without a label are left out.  Three features of four levels each can be split nine times at most, so ``depth`` 9 grows
-    the trees in full.
+    Each tree draws rows with replacement by hashes of ``key``, columns that tell rows apart, or
+    of all columns (rows alike in these are drawn together), so the fit is the same however the
+    frame is partitioned.  One aggregation gives the cells of all trees (``operators.trees``).
+    An importance is the part of a tree's gain that a feature's splits bring, averaged over
+    the trees that split at all; without any, all are 0.  Rows without a label or with a missing
+    feature are left out.  Three features of four levels each can be split nine times at most,
+    so ``depth`` 9 grows the trees in full.
+    """
+    names = sorted(df.columns) if key is None else list(key)
+    # A missing value must not vanish from the key.
+    parts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in names]
+    known = _labelled(df, label).dropna(subset=list(features))
+    samples = trees_of.sampled_cells(known, features, label, F.concat_ws(":", *parts), trees, seed)
+    found = [x for x in (trees_of.importances(s, depth) for s in samples) if x is not None]
+    mean = np.mean(found, axis=0) if found else np.zeros(len(features))
+    return _row(df, mean / mean.sum() if mean.sum() > 0 else mean)
+
+
+def boosted_splits(
+    df: DataFrame,
+    features: Sequence[str] = FEATURES,
+    label: str = LABEL,
+    boosting: Boosting = Boosting(),
+) -> DataFrame:
+    """Every split of the boosted trees: ``tree``, ``place``, ``feature``, ``threshold``, ``gain``.
+
+    ``tree`` and ``place`` count from 0; a tree's splits are listed level by level.  Features are
+    taken as they are: scaling moves thresholds and changes no split.  Rows without a label or
+    with a missing feature are left out.
     """
-    keys = [*features, label]
-    dealt = _labelled(df, label).select(*keys).repartition(partitions, *keys)
-    model = RandomForestRegressor(
-        numTrees=trees, seed=seed, featureSubsetStrategy="all", maxDepth=depth
-    ).fit(_rows(dealt.sortWithinPartitions(*keys), features, label))
-    return _row(df, model.featureImportances.toArray())
+    grown = _grown(df, features, label, boosting)
+    rows = [
+        (k, i, features[s.feature], s.threshold, s.gain)
+        for k, tree in enumerate(grown)
+        for i, s in enumerate(tree)
+    ]
+    schema = "tree bigint, place bigint, feature string, threshold double, gain double"
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
+def _grown(
+    df: DataFrame, features: Sequence[str], label: str, boosting: Boosting
+) -> list[list[trees_of.Split]]:
+    known = _labelled(df, label).dropna(subset=list(features))
+    return boosting.splits(trees_of.cells_of(known, features, label))
+
+
+def _split_shares(
+    df: DataFrame, features: Sequence[str], label: str, boosting: Boosting
+) -> DataFrame:
+    used = [s.feature for tree in _grown(df, features, label, boosting) for s in tree]
+    return normalize_to_shares(_row(df, [used.count(k) for k in range(len(features))]))
+
+
+def fit_penalized_weights(
+    df: DataFrame,
+    features: Sequence[str] = FEATURES,
+    label: str = LABEL,
+    boosting: Boosting = Boosting(),
+) -> DataFrame:
+    """How often second-order boosted trees split on each feature, as shares of all splits.
+
+    Leaves carry an L2 penalty, trees start from the mean label, and every tree counts by the
+    same rate.  All trees grow from one aggregation of the rows.  NULL shares mean that no tree
+    splits.
+    """
+    return _split_shares(df, features, label, boosting)
 
 
 def fit_boosted_weights(
@@ -142,24 +181,17 @@ def fit_boosted_weights(
     depth: int = 3,
     eta: float = 0.1,
     rounds: int = 100,
-    seed: int = 42,
     min_gain: float = 1e-12,
 ) -> DataFrame:
-    """How often boosted trees split on each standardized feature, as shares of all splits.
+    """The same for gradient boosting without penalty, whose first tree counts in full.
 
-    ``min_gain`` keeps rounding errors from passing as gains.
+    It splits as a fit over the single rows does.  ``min_gain``, per row, keeps rounding errors
+    from passing as gains.
     """
-    df, z = reusable(_labelled(df, label)), [f"{c}_z" for c in features]
-    model = GBTRegressor(
-        maxDepth=depth,
-        stepSize=eta,
-        maxIter=rounds,
-        seed=seed,
-        minInfoGain=min_gain,
-        weightCol="rows",
-    ).fit(_cells(standardize(df, features), z, label))
-    used = re.findall(r"If \(feature (\d+) ", model.toDebugString)
-    return normalize_to_shares(_row(df, [used.count(str(i)) for i in range(len(features))]))
+    # The gradient of the squared error is twice the residual: the step is twice ``eta``, and
+    # so doubled residuals must reach ``min_gain`` with four times the gain.
+    boosting = Boosting(depth, rounds, 2 * eta, 0.0, min_gain / 4, True, 1.0, 0.0)
+    return _split_shares(df, features, label, boosting)
 
 
 def normalize_to_shares(weights: DataFrame) -> DataFrame:
