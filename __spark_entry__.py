@@ -191,27 +191,27 @@ def pos_totals_by_location_period(t):
 
 
 def direct_orders_by_location_period(t):
-    return _shown(reports.pos_b_sides(_inputs(t, stored=True))[1], money="total_orders_sum")
+    return _shown(reports.pos_b_sides(_inputs(t))[1], money="total_orders_sum")
 
 
 def share_by_location_period(t):
-    result = channels.share_by_location_period(*reports.pos_b_sides(_inputs(t, stored=True)))
+    result = channels.share_by_location_period(*reports.pos_b_sides(_inputs(t)))
     return _shown(result, money="total_platform_orders_sum total_orders_sum", ratios="share")
 
 
 def share_by_period(t):
-    result = channels.share_by_period(*reports.pos_b_sides(_inputs(t, stored=True)))
+    result = channels.share_by_period(*reports.pos_b_sides(_inputs(t)))
     return _shown(result, ratios="share")
 
 
 def channel_totals_by_period(t):
-    result = channels.channel_totals_by_period(*reports.pos_b_sides(_inputs(t, stored=True)))
+    result = channels.channel_totals_by_period(*reports.pos_b_sides(_inputs(t)))
     return _shown(result, money="platform_total total", ratios="share_per_merchant")
 
 
 def union_channel_sales(t):
     return _shown(
-        reports.monthly_sales(_inputs(t, stored=True)),
+        reports.monthly_sales(_inputs(t)),
         money="platform_total other_total total_order",
         ratios="share_per_merchant",
     )
@@ -222,31 +222,31 @@ def union_channel_sales(t):
 
 def top_revenue_quartile(t):
     return _shown(
-        segments.top_revenue_quartile(reports.monthly_sales(_inputs(t, stored=True))),
+        segments.top_revenue_quartile(reports.monthly_sales(_inputs(t))),
         money="total_platform_revenue total_revenue",
         ratios="avg_share_per_merchant overall_share_per_merchant",
     )
 
 
 def anonymize_by_rank(t):
-    return reports.segment(_inputs(t, stored=True)).labels
+    return reports.segment(_inputs(t)).labels
 
 
 def pick_k_top(t):
-    return reports.segment(_inputs(t, stored=True)).picked
+    return reports.segment(_inputs(t)).picked
 
 
 def pick_k_bottom(t):
-    return reports.segment(_inputs(t, stored=True), descending=False).picked
+    return reports.segment(_inputs(t), descending=False).picked
 
 
 def channel_split_report_top(t):
-    return _shown(reports.channel_split(_inputs(t, stored=True)), money="total_revenue")
+    return _shown(reports.channel_split(_inputs(t)), money="total_revenue")
 
 
 def channel_split_report_bottom(t):
     return _shown(
-        reports.channel_split(_inputs(t, stored=True), descending=False), money="total_revenue"
+        reports.channel_split(_inputs(t), descending=False), money="total_revenue"
     )
 
 
@@ -302,9 +302,9 @@ def repeat_vs_first_time_report_bottom(t):
 
 
 def _rfm_base(t):
-    x = _inputs(t, stored=True)
+    x = reports.with_order_days(_inputs(t))
     large = segments.top_revenue_quartile(reports.monthly_sales(x))
-    return rfm.rfm_base(large, x.companies, x.orders, AS_OF)
+    return rfm.rfm_base(large, x.companies, None, AS_OF, x.days)
 
 
 def rfm_base(t):
@@ -319,7 +319,7 @@ def rfm_quartiles(t):
 
 def _rfm_report(t, descending):
     return _shown(
-        reports.rfm_scores(_inputs(t, stored=True), AS_OF, descending),
+        reports.rfm_scores(_inputs(t), AS_OF, descending),
         money="monetary",
         ratios="overall_share_per_merchant weighted_rfm",
     )
@@ -339,7 +339,7 @@ _WEIGHTS = "recency frequency monetary"
 
 
 def _quartiles(t):
-    return reports.all_merchant_quartiles(_inputs(t, stored=True), AS_OF)
+    return reports.all_merchant_quartiles(_inputs(t), AS_OF)
 
 
 def standardize(t):

@@ -180,3 +180,133 @@ def test_no_query_plan_crosses_tables(spark):
         text = plan(getattr(entry, name)(tables))
         assert "CartesianProduct" not in text, name
         assert "NestedLoopJoin" not in text, name
+
+
+def _reads(monkeypatch, build, path):
+    """How often the plans of ``build()``, with all that it stores, scan files below ``path``."""
+    import importlib
+
+    found = []
+
+    def counted(df):
+        found.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation") and _scans_of(df, path))
+
+    def watched(df):
+        counted(df)
+        return settle(df)
+
+    for name in ("plans.reports", "operators.channels", "operators.customers", "functions.ranking"):
+        monkeypatch.setattr(importlib.import_module(f"tillwise.{name}"), "settle", watched)
+    out = build()
+    counted(out)
+    return sum(found)
+
+
+def _scans_of(df, path):
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    texts = []
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.nodeName() == "LogicalRelation":
+            texts.append(leaf.relation().location().rootPaths().mkString(","))
+    return sum(path in t for t in texts)
+
+
+@pytest.fixture
+def stored_inputs(spark):
+    """Report inputs whose orders and payments are files of their own."""
+    import dataclasses
+
+    import __spark_entry__ as entry
+    from tillwise.sources.sample_tables import SampleTables
+
+    tables = SampleTables(spark, "/root/testdata/sf0.001")
+    orders, payments = settle(tables.orders), settle(tables.pos_a_payments)
+    inputs = dataclasses.replace(entry._inputs(tables), orders=orders, pos_a_payments=payments)
+    paths = [x.inputFiles()[0].rsplit("/", 1)[0].split("/")[-1] for x in (orders, payments)]
+    return inputs, *paths
+
+
+def test_orders_and_payments_are_read_once(stored_inputs, monkeypatch):
+    from tillwise.plans import reports
+
+    inputs, orders, payments = stored_inputs
+    as_of = date(2001, 9, 1)
+    for build in (
+        lambda: reports.monthly_sales(inputs),
+        lambda: reports.rfm_scores(inputs, as_of),
+        lambda: reports.channel_split(inputs),
+        lambda: reports.all_merchant_quartiles(inputs, as_of),
+    ):
+        for path in (orders, payments):
+            with monkeypatch.context() as patch:
+                assert _reads(patch, build, path) == 1
+
+
+def test_customer_orders_read_the_orders_once(spark, monkeypatch):
+    orders = _hot_orders(spark)
+    companies = spark.createDataFrame(
+        [(i, f"m{i}", 0, "POS_A", i, None) for i in range(10)], schemas.COMPANIES
+    )
+    picked = spark.createDataFrame([("m0",), ("m1",)], "merchant_name string")
+    path = orders.inputFiles()[0].rsplit("/", 1)[0].split("/")[-1]
+    build = lambda: customers.customer_orders(orders, companies, picked)
+    assert _reads(monkeypatch, build, path) == 1
+
+
+def test_one_read_of_payments_gives_what_two_reads_give(spark, stored_inputs):
+    from tillwise.plans import reports
+
+    x, _, _ = stored_inputs
+    flags = channels.flagged_count_by_location(
+        x.pos_a_payments, x.pos_a_locations, x.flag, x.start, x.end
+    )
+    two = channels.channel_sales_by_period(
+        x.pos_a_payments, x.pos_a_locations, reports.id_bridge(x), flags, reports.spans_a(x), x.flag, x.start, x.end
+    )
+    got = rows(reports.pos_a_sales(x))
+    assert got and got == rows(two)
+
+
+def test_days_give_what_orders_give(spark, stored_inputs):
+    from tillwise.operators import rfm
+    from tillwise.plans import reports
+
+    x, _, _ = stored_inputs
+    days = settle(activity.order_days(x.orders))
+    assert rows(activity.dates_of_days(days)) == rows(activity.order_dates(x.orders))
+    live, spans = activity.live_locations(x.locations), reports.spans_b(x)
+    args = (live, spans, x.start, x.end)
+    direct = rows(channels.direct_orders_by_location_period(x.orders, *args))
+    assert direct and rows(channels.direct_orders_of_days(days, *args)) == direct
+    large = segments.top_revenue_quartile(reports.monthly_sales(x))
+    base = rows(rfm.rfm_base(large, x.companies, x.orders, date(2001, 9, 1)))
+    assert base and rows(rfm.rfm_base(large, x.companies, None, date(2001, 9, 1), days)) == base
+
+
+def test_sums_are_the_same_for_any_partitions(spark, conf):
+    """Doubles are summed in decimals up to the last sum."""
+    rng = __import__("random").Random(1)
+    data = [
+        (f"2023-{1 + i % 9:02d}", f"m{i % 7}", rng.random(), rng.random() * 1e6, rng.random() * 1e6, rng.random() * 1e7)
+        for i in range(600)
+    ]
+    schema = "period string, merchant_name string, share_per_merchant double, platform_total double, other_total double, total_order double"
+    lives = [(i, f"m{i % 7}", 1 + i % 3, rng.random() * 1e5) for i in range(600)]
+    found = []
+    for n in (4, 16):
+        conf("spark.sql.shuffle.partitions", str(n))
+        sales = settle(spark.createDataFrame(data, schema).repartition(n))
+        lifetime = spark.createDataFrame(
+            lives, "user_id long, merchant_name string, total_orders long, total_revenue double"
+        ).repartition(n)
+        top = segments.top_revenue_quartile(sales)
+        labels = segments.anonymize_by_rank(top)
+        found.append(
+            (
+                rows(segments.merchant_totals(sales)),
+                rows(segments.channel_split_report(sales, labels, top.select("merchant_name"))),
+                rows(customers.customer_kinds(lifetime)),
+            )
+        )
+    assert found[0] == found[1]

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import plan
-from tillwise.functions.ranking import ntile_of, number_rows
+from tillwise.functions import ranking
+from tillwise.functions.ranking import ntile_of, ntiles, number_rows
 from tillwise.sources.shared import settle
 
 
@@ -70,3 +71,31 @@ def test_ntile(spark, n, buckets):
         .collect()
     ]
     assert got == want
+
+
+TILE_ORDERS = ORDERS | {"by_text": [("name", "desc")]}
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 4, 7, 500])
+@pytest.mark.parametrize("apart", [True, False])
+@pytest.mark.parametrize("buckets", [1, 4, 9])
+def test_ntiles_of_several_orders_equal_windows(spark, conf, n, apart, buckets):
+    from pyspark.sql import Window as W
+
+    from tillwise.functions.ranking import _sorting
+
+    conf("spark.sql.adaptive.coalescePartitions.enabled", str(not apart).lower())
+    df = _frame(spark, n, seed=n)
+    want = df
+    for name, keys in TILE_ORDERS.items():
+        want = want.withColumn(name, F.ntile(buckets).over(W.orderBy(*_sorting(keys))))
+    assert sorted(map(repr, ntiles(df, TILE_ORDERS, buckets).collect())) == sorted(map(repr, want.collect()))
+
+
+def test_ntiles_store_one_table_and_join_nothing(spark, monkeypatch):
+    df = _frame(spark, 200, seed=1)
+    stored = []
+    monkeypatch.setattr(ranking, "settle", lambda x: stored.append(x) or settle(x))
+    out = ntiles(df, TILE_ORDERS, 4)
+    assert len(stored) == 1
+    assert "Join" not in plan(out) and "Exchange" not in plan(out)

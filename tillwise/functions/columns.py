@@ -69,3 +69,8 @@ def exact_sum(value: Column | str, places: int = 8) -> Column:
     """
     value = F.col(value) if isinstance(value, str) else value
     return F.sum(value.cast(f"decimal(28,{places})"))
+
+
+def exact_mean(value: str, places: int = 15) -> Column:
+    """Mean of a double by an exact sum of ``places`` places; NULLs are left out."""
+    return exact_sum(value, places).cast("double") / F.count(value)

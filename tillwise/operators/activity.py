@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tillwise.functions.columns import churned, day, first_id
+from tillwise.functions.columns import churned, day, exact_sum, first_id
 
 
 def resolve_external_ids(
@@ -36,6 +36,30 @@ def order_dates(orders: DataFrame, status: str = "COMPLETED") -> DataFrame:
     )
 
 
+def order_days(orders: DataFrame) -> DataFrame:
+    """Orders by merchant id, location, status and day, as states that may be summed further.
+
+    Windows (``dates_of_days``), the platform's own totals and RFM scores need no more of the
+    orders, so stored once it stands for them: its rows are the days on which something was sold.
+    """
+    return orders.groupBy(
+        "company_ord_fk", "location_fk", "orderStatus", day("created_at").alias("ordered_on")
+    ).agg(
+        F.count("id").alias("n"),
+        F.max("created_at").alias("last"),
+        exact_sum("calculated_total").alias("worth"),
+    )
+
+
+def dates_of_days(days: DataFrame, status: str = "COMPLETED") -> DataFrame:
+    """``order_dates`` from ``order_days``."""
+    return (
+        days.filter(F.col("orderStatus") == status)
+        .groupBy(F.col("company_ord_fk").alias("id"))
+        .agg(F.min("ordered_on").alias("first_order"), F.max("ordered_on").alias("latest_order"))
+    )
+
+
 def activity_span_bridged(
     orders: DataFrame,
     companies: DataFrame,

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tillwise.functions.columns import day, exact_sum, first_id, month, on_days, period, ratio
 from tillwise.operators.activity import activity_gate, activity_windows
-from tillwise.sources.shared import sized
+from tillwise.sources.shared import settle, sized
 
 
 def _settled_payments(payments: DataFrame, start: date, end: date, status: str) -> DataFrame:
@@ -73,42 +73,110 @@ def channel_sales_by_period(
     merchant with very many payments over all tasks.
     """
     places = sized(
-        locations.select(F.col("id").alias("location_id"), "merchant_id")
-        .join(bridge.select("merchant_id", "merchant_name"), "merchant_id")
-        .join(
+        _open_places(locations, bridge, spans).join(
             location_flags.filter(F.col("platform_order_count") > 0).select(
                 F.col("pos_location_id").alias("location_id")
             ),
             "location_id",
         )
-        .join(
-            activity_windows(spans, "pos_merchant_id").withColumnRenamed("entity", "merchant_id"),
+    )
+    facts = _facts(payments, flag, start, end, status)
+    # The windows of a merchant do not overlap, so no payment is matched by two of them.
+    gated = facts.join(places, "location_id").filter(
+        F.col("paid_on").between(F.col("opens"), F.col("closes"))
+    )
+    per_customer = gated.groupBy(
+        "merchant_id", "merchant_name", month("paid_on").alias("month"), "customer_id"
+    ).agg(*_states())
+    return _per_merchant(per_customer)
+
+
+def channel_sales_in_one_read(
+    payments: DataFrame,
+    locations: DataFrame,
+    bridge: DataFrame,
+    spans: DataFrame,
+    flag: Column,
+    start: date,
+    end: date,
+    status: str = "COMPLETED",
+) -> DataFrame:
+    """``channel_sales_by_period`` with the locations' flags taken in the same read.
+
+    Whether a location has a flagged payment is known only when all are read, and a flagged
+    payment counts for that on any day.  So payments are summed per location, customer and month
+    first, those outside the merchant's windows to one row per location that keeps only the flag.
+    This table is stored; flags come from it, and then the sums of the flagged locations.
+    """
+    places = sized(_open_places(locations, bridge, spans))
+    open_ = F.col("merchant_id").isNotNull()
+    facts = _facts(payments, flag, start, end, status).alias("f")
+    on = (F.col("f.location_id") == F.col("p.place")) & F.col("f.paid_on").between(
+        F.col("p.opens"), F.col("p.closes")
+    )
+    matched = facts.join(places.withColumnRenamed("location_id", "place").alias("p"), on, "left")
+    states = settle(
+        matched.filter(open_ | F.col("flagged"))
+        .groupBy(
+            "location_id",
             "merchant_id",
+            "merchant_name",
+            F.when(open_, month("paid_on")).alias("month"),
+            F.when(open_, F.col("customer_id")).alias("customer_id"),
         )
+        .agg(F.bool_or("flagged").alias("any_flagged"), *_states())
     )
-    facts = _settled_payments(payments, start, end, status).select(
+    flagged = sized(states.filter("any_flagged").select("location_id").distinct())
+    summed = [c for c in states.columns if c.split("_")[-1] in ("total", "rows", "paid")]
+    per_customer = (
+        states.filter(open_)
+        .join(flagged, "location_id", "left_semi")
+        .groupBy("merchant_id", "merchant_name", "month", "customer_id")
+        .agg(*[F.sum(c).alias(c) for c in summed])
+    )
+    return _per_merchant(per_customer)
+
+
+def _open_places(locations: DataFrame, bridge: DataFrame, spans: DataFrame) -> DataFrame:
+    """Locations with merchant, name and activity windows."""
+    windows = activity_windows(spans, "pos_merchant_id").withColumnRenamed("entity", "merchant_id")
+    return (
+        locations.select(F.col("id").alias("location_id"), "merchant_id")
+        .join(bridge.select("merchant_id", "merchant_name"), "merchant_id")
+        .join(windows, "merchant_id")
+    )
+
+
+def _facts(
+    payments: DataFrame, flag: Column, start: date, end: date, status: str
+) -> DataFrame:
+    return _settled_payments(payments, start, end, status).select(
         F.col("payment_details.location_id").alias("location_id"),
         day("payment_details.created_at").alias("paid_on"),
         F.col("payment_details.customer_id").alias("customer_id"),
         F.col("payment_details.total_money.amount").alias("amount"),
         flag.alias("flagged"),
     )
-    # The windows of a merchant do not overlap, so no payment is matched by two of them.
-    gated = facts.join(places, "location_id").filter(
-        F.col("paid_on").between(F.col("opens"), F.col("closes"))
-    )
-    sides = {"platform": F.col("flagged"), "other": ~F.col("flagged")}
-    value = F.coalesce("amount", F.lit(0))
 
-    per_customer = gated.groupBy(
-        "merchant_id", "merchant_name", month("paid_on").alias("month"), "customer_id"
-    ).agg(
+
+_SIDES = ("platform", "other")
+
+
+def _states() -> list[Column]:
+    """Sums and counts of payments, in all and on both sides of the flag."""
+    sides = dict(zip(_SIDES, (F.col("flagged"), ~F.col("flagged"))))
+    value = F.coalesce("amount", F.lit(0))
+    return [
         F.sum("amount").alias("total"),
         *[F.sum(F.when(on, value).otherwise(0)).alias(f"{s}_total") for s, on in sides.items()],
         *[F.count(F.when(on, F.lit(1))).alias(f"{s}_rows") for s, on in sides.items()],
         *[F.count(F.when(on, F.col("amount"))).alias(f"{s}_paid") for s, on in sides.items()],
-    )
+    ]
 
+
+def _per_merchant(per_customer: DataFrame) -> DataFrame:
+    """Sales per merchant and month from the states per customer."""
+    sides = _SIDES
     known = F.col("customer_id").isNotNull()
     per_merchant = per_customer.groupBy("merchant_id", "merchant_name", "month").agg(
         F.sum("total").alias("total_order"),
@@ -178,12 +246,31 @@ def direct_orders_by_location_period(
         "company_ord_fk",
         F.col("location_fk").alias("location_id"),
         day("created_at").alias("ordered_on"),
-        "calculated_total",
+        F.col("calculated_total").cast("decimal(28,8)").alias("worth"),
     )
+    return _direct(facts, live_locations, spans)
+
+
+def direct_orders_of_days(
+    days: DataFrame,
+    live_locations: DataFrame,
+    spans: DataFrame,
+    start: date,
+    end: date,
+    status: str = "COMPLETED",
+) -> DataFrame:
+    """The same from the stored ``activity.order_days``, without the orders."""
+    facts = days.filter(
+        (F.col("orderStatus") == status) & F.col("ordered_on").between(F.lit(start), F.lit(end))
+    ).select("company_ord_fk", F.col("location_fk").alias("location_id"), "ordered_on", "worth")
+    return _direct(facts, live_locations, spans)
+
+
+def _direct(facts: DataFrame, live_locations: DataFrame, spans: DataFrame) -> DataFrame:
     return (
         activity_gate(facts, sized(spans), "company_ord_fk", "ordered_on", "company_id")
         .groupBy("location_id", month("ordered_on").alias("month"))
-        .agg(exact_sum("calculated_total").alias("monthly_sum"))
+        .agg(F.sum("worth").alias("monthly_sum"))
         .join(
             live_locations.select(
                 F.col("id").alias("location_id"), F.col("name").alias("location_name")
@@ -230,10 +317,11 @@ def share_by_location_period(pos: DataFrame, direct: DataFrame) -> DataFrame:
 
 def share_by_period(pos: DataFrame, direct: DataFrame) -> DataFrame:
     """The same per merchant and month, as a ratio of sums."""
+    own, all_pos = (exact_sum(c).cast("double") for c in ("platform_sum", "pos_sum"))
     return (
         _side_by_side(pos, direct)
         .groupBy("merchant_name", "period")
-        .agg(_share(F.sum("platform_sum"), F.sum("pos_sum")).alias("share"))
+        .agg(_share(own, all_pos).alias("share"))
         .select("share", "merchant_name", "period")
     )
 
@@ -243,7 +331,7 @@ def channel_totals_by_period(pos: DataFrame, direct: DataFrame) -> DataFrame:
 
     A location listed under two merchant names counts its platform sales under both.
     """
-    own, all_pos = F.sum("platform_sum"), F.sum("pos_sum")
+    own, all_pos = (exact_sum(c).cast("double") for c in ("platform_sum", "pos_sum"))
     return (
         _side_by_side(pos, direct)
         .groupBy("merchant_name", "period")

@@ -97,7 +97,7 @@ def cohort_rollup(
         .groupBy("merchant_name", "cohort_period")
         .agg(
             F.sum("active_customers").alias("active_customers"),
-            F.sum("total_revenue").alias("total_revenue"),
+            exact_sum("total_revenue").cast("double").alias("total_revenue"),
         )
         .select(
             "merchant_name",

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.functions.columns import exact_sum
-from tillwise.sources.shared import sized
+from tillwise.sources.shared import settle, sized
 
 
 def _chosen(companies: DataFrame, picked: DataFrame) -> DataFrame:
@@ -50,17 +50,19 @@ def customer_orders(
 ) -> DataFrame:
     """Completed orders of the picked merchants with the customer's order count there.
 
+    The orders are read once: those of the picked merchants are stored, and counted from there.
     The counts are joined back instead of taken from a window, which would hold all orders of
     one customer in one task; orders without a user form one group, possibly a very large one.
-    Spark splits such a group in the join.
+    Its count comes from partial counts, and Spark splits the group in the join.
     """
-    done, chosen = _completed(orders, status), _chosen(companies, picked)
-    counts = _per_company(done, chosen, F.count("id").alias("order_count"))
-    counts = counts.select(
-        F.col("user_id").alias("u"), F.col("company_id").alias("c"), "order_count"
+    chosen = _chosen(companies, picked)
+    done = _completed(orders, status)
+    theirs = settle(done.join(chosen.select("company_id"), "company_id", "left_semi"))
+    counts = theirs.groupBy(F.col("user_id").alias("u"), F.col("company_id").alias("c")).agg(
+        F.count("id").alias("order_count")
     )
     return (
-        done.join(chosen, "company_id")
+        theirs.join(chosen, "company_id")
         .join(counts, F.col("user_id").eqNullSafe(F.col("u")) & (F.col("company_id") == F.col("c")))
         .select(
             "user_id",
@@ -127,10 +129,14 @@ def customer_kinds(lifetime: DataFrame) -> DataFrame:
         F.count(F.when(again, F.lit(1))).alias("repeat_rows"),
         F.count(F.when(again, F.col("user_id"))).alias("repeat_customer_count"),
         F.avg(F.when(again, orders)).alias("avg_orders_per_repeat_customer"),
-        F.sum(F.when(again, revenue)).alias("total_revenue_from_repeat_customers"),
+        exact_sum(F.when(again, revenue))
+        .cast("double")
+        .alias("total_revenue_from_repeat_customers"),
         F.count(F.when(once, F.lit(1))).alias("first_time_rows"),
         F.count(F.when(once, F.col("user_id"))).alias("first_time_customer_count"),
-        F.sum(F.when(once, revenue)).alias("total_revenue_from_first_time_customers"),
+        exact_sum(F.when(once, revenue))
+        .cast("double")
+        .alias("total_revenue_from_first_time_customers"),
     )
 
 

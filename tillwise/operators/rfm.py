@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.functions.columns import day, exact_sum
-from tillwise.functions.ranking import ntile_of, number_rows
+from tillwise.functions.ranking import ntiles
 from tillwise.operators.segments import SHARE
 from tillwise.operators.weights import weighted_sum
 from tillwise.sources.shared import reusable
@@ -23,23 +23,31 @@ DEFAULT_WEIGHTS = {
 
 
 def rfm_base(
-    segment: DataFrame, companies: DataFrame, orders: DataFrame, as_of: date | None = None
+    segment: DataFrame,
+    companies: DataFrame,
+    orders: DataFrame | None,
+    as_of: date | None = None,
+    days: DataFrame | None = None,
 ) -> DataFrame:
     """Days since the last order, order count and order value per merchant of the segment.
 
     Orders of any status count.  Merchants whose order value is zero or unknown are dropped.
-    ``as_of`` defaults to today.  Orders are reduced to one row per merchant id first.
+    ``as_of`` defaults to today.  Orders are reduced to one row per merchant id first; where
+    ``days``, the stored ``activity.order_days(orders)``, is at hand, they are not read at all.
     """
     today = F.current_date() if as_of is None else F.lit(as_of)
-    per_company = (
-        orders.filter(F.col("created_at").isNotNull())
-        .groupBy(F.col("company_ord_fk").alias("id"))
-        .agg(
+    if days is None:
+        dated = orders.filter(F.col("created_at").isNotNull())
+        per_company = dated.groupBy(F.col("company_ord_fk").alias("id")).agg(
             F.max("created_at").alias("last"),
             F.count("id").alias("n"),
             exact_sum("calculated_total").alias("worth"),
         )
-    )
+    else:
+        dated = days.filter(F.col("ordered_on").isNotNull())
+        per_company = dated.groupBy(F.col("company_ord_fk").alias("id")).agg(
+            F.max("last").alias("last"), F.sum("n").alias("n"), F.sum("worth").alias("worth")
+        )
     return (
         per_company.join(companies.select("id", F.col("name").alias("merchant_name")), "id")
         .join(segment.select("merchant_name", SHARE), "merchant_name")
@@ -76,10 +84,7 @@ def rfm_quartiles(
         "f_quartile": [("frequency", "asc"), name],
         "m_quartile": [(m_by, "asc"), name],
     }
-    ranked, total = number_rows(reusable(rfm_base), scores)
-    return ranked.select(
-        *rfm_base.columns, *[ntile_of(F.col(s), total, buckets).alias(s) for s in scores]
-    )
+    return ntiles(reusable(rfm_base), scores, buckets)
 
 
 def rfm_report(

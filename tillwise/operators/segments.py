@@ -8,30 +8,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.functions.columns import ratio
-from tillwise.functions.ranking import ntile_of, number_rows
+from tillwise.functions.columns import exact_mean, exact_sum, ratio
+from tillwise.functions.ranking import ntiles, number_rows
 from tillwise.sources.shared import reusable
 
 SHARE = "overall_share_per_merchant"
 
 
 def merchant_totals(sales: DataFrame) -> DataFrame:
-    """Revenue and share per merchant: the mean of the monthly shares, and the ratio of sums."""
+    """Revenue and share per merchant: the mean of the monthly shares, and the ratio of sums.
+
+    Sums are decimals to the end, so merchants rank alike however the months were partitioned.
+    """
+    own, all_ = (exact_sum(c).cast("double") for c in ("platform_total", "total_order"))
     return sales.groupBy("merchant_name").agg(
-        F.avg("share_per_merchant").alias("avg_share_per_merchant"),
-        F.sum("platform_total").alias("total_platform_revenue"),
-        F.sum("total_order").alias("total_revenue"),
-        ratio(F.sum("platform_total"), F.sum("total_order")).alias(SHARE),
+        exact_mean("share_per_merchant").alias("avg_share_per_merchant"),
+        own.alias("total_platform_revenue"),
+        all_.alias("total_revenue"),
+        ratio(own, all_).alias(SHARE),
     )
 
 
 def top_revenue_quartile(sales: DataFrame, buckets: int = 4, keep: int = 1) -> DataFrame:
     """Totals of the merchants in NTILE bucket ``keep`` of ``buckets``, largest revenue first."""
-    ranked, total = number_rows(
-        reusable(merchant_totals(sales)),
-        {"place": [("total_revenue", "desc"), ("merchant_name", "asc")]},
-    )
-    return ranked.filter(ntile_of(F.col("place"), total, buckets) == keep).drop("place")
+    order = [("total_revenue", "desc"), ("merchant_name", "asc")]
+    placed = ntiles(reusable(merchant_totals(sales)), {"place": order}, buckets)
+    return placed.filter(F.col("place") == keep).drop("place")
 
 
 def anonymize_by_rank(
@@ -65,7 +67,10 @@ def channel_split_report(
     split = (
         sales.join(picked, "merchant_name", "left_semi")
         .groupBy("merchant_name")
-        .agg(F.sum("platform_total").alias("flagged"), F.sum("other_total").alias("rest"))
+        .agg(
+            exact_sum("platform_total").cast("double").alias("flagged"),
+            exact_sum("other_total").cast("double").alias("rest"),
+        )
         .join(labels, "merchant_name")
     )
     channel = F.explode(

@@ -7,7 +7,7 @@ stores it (merchants x months) and works on from there.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tillwise.functions.columns import channel_flag, day, exact_sum, month, period
 from tillwise.operators import activity, channels, cohorts, customers, rfm, segments, weights
-from tillwise.sources.shared import reusable, settle
+from tillwise.sources.shared import settle
 
 
 @dataclass(frozen=True)
@@ -35,50 +35,59 @@ class Inputs:
     churn_pattern: str = "%CHURN%"
     pos_a: str = "POS_A"
     pos_b: str = "POS_B"
+    #: The stored ``activity.order_days(orders)``: see ``with_order_days``.
+    days: DataFrame | None = None
 
     @property
     def flag(self) -> Column:
         return channel_flag("payment_details.note", self.note_pattern)
 
 
+def with_order_days(t: Inputs) -> Inputs:
+    """Inputs with the orders by day, stored: one read of the orders for all that is per merchant."""
+    return t if t.days is not None else replace(t, days=settle(activity.order_days(t.orders)))
+
+
 def id_bridge(t: Inputs) -> DataFrame:
     return activity.resolve_external_ids(
         t.pos_a_locations, "ext_id", "ext_id__it", ["merchant_id", "merchant_name"]
     )
 
 
-def spans_a(t: Inputs, dates: DataFrame | None = None) -> DataFrame:
+def _dates(t: Inputs) -> DataFrame | None:
+    return None if t.days is None else activity.dates_of_days(t.days)
+
+
+def spans_a(t: Inputs) -> DataFrame:
     return activity.activity_span_bridged(
-        t.orders, t.companies, id_bridge(t), t.pos_a, t.churn_pattern, dates=dates
+        t.orders, t.companies, id_bridge(t), t.pos_a, t.churn_pattern, dates=_dates(t)
     )
 
 
-def spans_b(t: Inputs, dates: DataFrame | None = None) -> DataFrame:
-    return activity.activity_span(t.orders, t.companies, t.pos_b, t.churn_pattern, dates=dates)
+def spans_b(t: Inputs) -> DataFrame:
+    return activity.activity_span(
+        t.orders, t.companies, t.pos_b, t.churn_pattern, dates=_dates(t)
+    )
 
 
-def pos_a_sales(t: Inputs, dates: DataFrame | None = None) -> DataFrame:
-    # Only locations with a flagged payment pass, so the others need not be counted.
-    flags = channels.flagged_count_by_location(
-        t.pos_a_payments.filter(t.flag), t.pos_a_locations, t.flag, t.start, t.end
-    )
-    return channels.channel_sales_by_period(
+def pos_a_sales(t: Inputs) -> DataFrame:
+    return channels.channel_sales_in_one_read(
         t.pos_a_payments,
         t.pos_a_locations,
         id_bridge(t),
-        flags,
-        spans_a(t, dates),
+        spans_a(t),
         t.flag,
         t.start,
         t.end,
     )
 
 
-def pos_b_sides(t: Inputs, dates: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def pos_b_sides(t: Inputs) -> tuple[DataFrame, DataFrame]:
     """POS totals and the platform's own totals per location and month."""
+    t = with_order_days(t)
     pos = channels.pos_totals_by_location_period(t.pos_b_orders, t.start, t.end)
-    direct = channels.direct_orders_by_location_period(
-        t.orders, activity.live_locations(t.locations), spans_b(t, dates), t.start, t.end
+    direct = channels.direct_orders_of_days(
+        t.days, activity.live_locations(t.locations), spans_b(t), t.start, t.end
     )
     return pos, direct
 
@@ -86,11 +95,11 @@ def pos_b_sides(t: Inputs, dates: DataFrame | None = None) -> tuple[DataFrame, D
 def monthly_sales(t: Inputs) -> DataFrame:
     """Sales per merchant and month over both POS systems.
 
-    The order dates are taken once for the activity windows of both.
+    Activity windows and the platform's own totals come from the orders by day.
     """
-    dates = reusable(activity.order_dates(t.orders))
+    t = with_order_days(t)
     return channels.union_channel_sales(
-        pos_a_sales(t, dates), channels.channel_totals_by_period(*pos_b_sides(t, dates))
+        pos_a_sales(t), channels.channel_totals_by_period(*pos_b_sides(t))
     )
 
 
@@ -144,9 +153,10 @@ def rfm_scores(
     score_weights: Mapping[str, float] | DataFrame = rfm.DEFAULT_WEIGHTS,
     sales: DataFrame | None = None,
 ) -> DataFrame:
+    t = with_order_days(t)
     s = segment(t, descending, k, sales)
-    quartiles = rfm.rfm_quartiles(rfm.rfm_base(s.merchants, t.companies, t.orders, as_of))
-    return rfm.rfm_report(quartiles, s.labels, s.picked, score_weights)
+    base = rfm.rfm_base(s.merchants, t.companies, None, as_of, t.days)
+    return rfm.rfm_report(rfm.rfm_quartiles(base), s.labels, s.picked, score_weights)
 
 
 def all_reports(t: Inputs, as_of: date | None = None, k: int = 10) -> dict[str, DataFrame]:
@@ -155,6 +165,7 @@ def all_reports(t: Inputs, as_of: date | None = None, k: int = 10) -> dict[str,
     Monthly sales, the segment, the customers of both picks and the scores are taken once each;
     the two sides are filters on them.
     """
+    t = with_order_days(t)
     sales = settle(monthly_sales(t))
     merchants = settle(segments.top_revenue_quartile(sales))
     labels = settle(segments.anonymize_by_rank(merchants))
@@ -166,7 +177,8 @@ def all_reports(t: Inputs, as_of: date | None = None, k: int = 10) -> dict[str,
     kinds = settle(
         customers.customer_kinds(customers.lifetime_of_orders(t.orders, t.companies, both))
     )
-    quartiles = settle(rfm.rfm_quartiles(rfm.rfm_base(merchants, t.companies, t.orders, as_of)))
+    base = rfm.rfm_base(merchants, t.companies, None, as_of, t.days)
+    quartiles = settle(rfm.rfm_quartiles(base))
     reports = {}
     for side, picked in picks.items():
         mine = kinds.join(picked, "merchant_name", "left_semi")
@@ -180,8 +192,9 @@ def all_reports(t: Inputs, as_of: date | None = None, k: int = 10) -> dict[str,
 
 def all_merchant_quartiles(t: Inputs, as_of: date | None = None) -> DataFrame:
     """RFM quartiles over every merchant with sales, stored: the input of the weight fits."""
+    t = with_order_days(t)
     totals = segments.merchant_totals(monthly_sales(t))
-    return settle(rfm.rfm_quartiles(rfm.rfm_base(totals, t.companies, t.orders, as_of)))
+    return settle(rfm.rfm_quartiles(rfm.rfm_base(totals, t.companies, None, as_of, t.days)))
 
 
 def weighted_scores(
