@@ -23,9 +23,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from tillwise.llm.common import table
 from tillwise.sources.shared import settle, sized
@@ -39,6 +39,8 @@ SEGMENT = 16
 #: Lines in this many documents or more go, if their key has this many code points or more.
 LEAST_DOCS = 10
 LEAST_CHARS = 1
+#: Bytes of text handled together.
+CHUNK_BYTES = 4 << 20
 
 
 class Filters:
@@ -92,11 +94,15 @@ def _bytes_of(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[first], np.bitwise_or.reduceat(bit, first) if len(first) else bit
 
 
+def _set_places(bitmap: np.ndarray) -> np.ndarray:
+    used = np.flatnonzero(bitmap)
+    byte, bit = np.nonzero(np.unpackbits(bitmap[used], bitorder="little").reshape(-1, 8))
+    return used[byte] * 8 + bit
+
+
 def _packed(part: np.ndarray) -> bytes:
     """Places in two bytes each while that is shorter than the bitmap; b"" for no place."""
-    used = np.flatnonzero(part)
-    byte, bit = np.nonzero(np.unpackbits(part[used], bitorder="little").reshape(-1, 8))
-    on = used[byte] * 8 + bit
+    on = _set_places(part)
     return on.astype("<u2").tobytes() if 2 * len(on) < len(part) else part.tobytes()
 
 
@@ -145,12 +151,24 @@ class Lines:
         return order[new]
 
 
+def _chunks(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Slices of some megabytes, or of one text, and the place of the first text."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
+    first, held = 0, 0
+    for k, size in enumerate(sizes.tolist()):
+        if held and held + size > CHUNK_BYTES:
+            yield first, texts.slice(first, k - first)
+            first, held = k, 0
+        held += size
+    if first < len(texts):
+        yield first, texts.slice(first)
+
+
 _SEGMENTS = "segment int, once binary, twice binary"
 
 
 def _suspects_of(docs: DataFrame, bits: int, least_chars: int) -> Broadcast:
-    """The second filter over all documents, as bitmap."""
-    spark = docs.sparkSession
+    """The second filter over all documents: sorted places while these are fewer, or a bitmap."""
 
     def emit(filters: Filters, second_only: bool) -> Iterator[pa.RecordBatch]:
         rows = []
@@ -170,9 +188,10 @@ def _suspects_of(docs: DataFrame, bits: int, least_chars: int) -> Broadcast:
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = Filters(bits)
         for batch in batches:
-            lines = Lines(batch.column("text"), least_chars)
-            places = _places(lines.digests, bits)[lines.key[lines.once_a_text()]]
-            filters.add(places.ravel())
+            for _, texts in _chunks(batch.column("text")):
+                lines = Lines(texts, least_chars)
+                places = _places(lines.digests, bits)[lines.key[lines.once_a_text()]]
+                filters.add(places.ravel())
         yield from emit(filters, False)
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,13 +208,20 @@ def _suspects_of(docs: DataFrame, bits: int, least_chars: int) -> Broadcast:
     # At most the 2 ** bits places of a filter come to the driver, whatever the input.
     for row in second.collect():
         twice.unite(row["segment"], bytes(row["twice"]), b"")
-    return spark.sparkContext.broadcast(twice.once)
+    on = _set_places(twice.once)
+    few = 8 * len(on) < len(twice.once)
+    return docs.sparkSession.sparkContext.broadcast(on if few else twice.once)
 
 
 def _suspected(lines: Lines, twice: np.ndarray, bits: int) -> np.ndarray:
+    """Which lines have all their places in the filter, sorted places or a bitmap."""
     places = _places(lines.digests, bits)
-    known = (twice[places >> 3] >> (places & 7).astype(np.uint8)) & 1
-    return known.all(axis=1)[lines.key] if len(places) else np.zeros(0, bool)
+    if twice.dtype == np.uint8:
+        known = (twice[places >> 3] >> (places & 7).astype(np.uint8)) & 1 == 1
+    else:
+        spot = np.searchsorted(twice, places)
+        known = np.append(twice, -1)[spot] == places
+    return known.all(axis=1)[lines.key]
 
 
 def _name(doc_id, text) -> bytes:
@@ -216,29 +242,32 @@ def _marks(docs: DataFrame, twice: Broadcast, bits: int, least_chars: int) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines = Lines(batch.column("text"), least_chars)
-            hit = np.flatnonzero(_suspected(lines, twice.value, bits))
-            texts, at = np.unique(lines.text[hit], return_index=True)
-            out: dict[bytes, list] = {}
-            for text, part in zip(texts.tolist(), np.split(hit, at[1:])):
-                name = _name(batch.column("id")[text].as_py(), batch.column("text")[text].as_py())
-                if name in out:
-                    out[name][1] += 1
-                else:
-                    out[name] = [text, 1, lines.line[part].tolist(), [lines.digests[k].tobytes() for k in lines.key[part].tolist()]]
-            rows = list(out.values())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(list(out), pa.binary()),
-                    batch.column("id").take(pa.array([r[0] for r in rows], pa.int64())),
-                    pa.array([r[1] for r in rows], pa.int64()),
-                    pa.array([r[2] for r in rows], pa.list_(pa.int32())),
-                    pa.array([r[3] for r in rows], pa.list_(pa.binary())),
-                ],
-                names=schema.names,
-            )
-
-    return docs.select("id", "text").mapInArrow(run, schema)
+            for first, texts in _chunks(batch.column("text")):
+                ids = batch.column("id").slice(first, len(texts))
+                lines = Lines(texts, least_chars)
+                hit = np.flatnonzero(_suspected(lines, twice.value, bits))
+                found, at = np.unique(lines.text[hit], return_index=True)
+                out: dict[bytes, list] = {}
+                for text, part in zip(found.tolist(), np.split(hit, at[1:])):
+                    name = _name(ids[text].as_py(), texts[text].as_py())
+                    if name in out:
+                        out[name][1] += 1
+                    else:
+                        keys = [lines.digests[k].tobytes() for k in lines.key[part].tolist()]
+                        out[name] = [text, 1, lines.line[part].tolist(), keys]
+                rows = list(out.values())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(list(out), pa.binary()),
+                        ids.take(pa.array([r[0] for r in rows], pa.int64())),
+                        pa.array([r[1] for r in rows], pa.int64()),
+                        pa.array([r[2] for r in rows], pa.list_(pa.int32())),
+                        pa.array([r[3] for r in rows], pa.list_(pa.binary())),
+                    ],
+                    names=schema.names,
+                )
+
+    return docs.mapInArrow(run, schema)
 
 
 def dedup_lines(
@@ -261,12 +290,9 @@ def dedup_lines(
     are put in place of columns of that name.
     """
     least_docs, least_chars = max(2, least_docs), max(1, least_chars)
-    kind = docs.schema["text"].dataType
-    rows = docs.select(
-        F.struct("*").alias("row"), F.col(id_column).alias("id"), F.col("text").cast("string").alias("text")
-    )
-    twice = _suspects_of(rows, bits, least_chars)
-    marks = settle(_marks(rows, twice, bits, least_chars))
+    narrow = docs.select(F.col(id_column).alias("id"), "text")
+    twice = _suspects_of(narrow, bits, least_chars)
+    marks = settle(_marks(narrow, twice, bits, least_chars))
     one = marks.select("doc", F.explode(F.arrays_zip("lines", "keys")).alias("x"))
     one = one.select("doc", F.col("x.lines").alias("line"), F.col("x.keys").alias("key"))
     # A key counts once a document, at its first line there.
@@ -280,50 +306,57 @@ def dedup_lines(
         stays = (F.col("first.doc") == F.col("doc")) & (F.col("first.line") == F.col("line"))
         confirmed = confirmed.filter(~stays)
     gone = confirmed.groupBy("doc").agg(F.collect_set("line").alias("gone"))
-    return _without(rows, twice, bits, least_chars, sized(gone)).withColumn("text", F.col("text").cast(kind))
+    return _without(docs, id_column, twice, bits, least_chars, sized(gone))
+
 
+def _cut(text: Column, gone: Column) -> Column:
+    """The text without the lines numbered in ``gone``; linear in the number of lines."""
 
-def _without(rows: DataFrame, twice: Broadcast, bits: int, least_chars: int, gone: DataFrame) -> DataFrame:
+    def kept(lines):
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+        return F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+
+    # One element, so that the text is split once.
+    return F.get(F.transform(F.array(F.split(text, "\n", -1)), kept), F.lit(0))
+
+
+def _without(
+    docs: DataFrame, id_column: str, twice: Broadcast, bits: int, least_chars: int, gone: DataFrame
+) -> DataFrame:
     """The documents without the lines that ``gone`` lists for them."""
-    row_type = rows.schema["row"].dataType
+    rows = docs.select(F.struct("*").alias("row"))
+    row = rows.schema["row"]
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text")
-            lines = Lines(texts, least_chars)
-            names: list[bytes | None] = [None] * len(texts)
-            for k in np.unique(lines.text[_suspected(lines, twice.value, bits)]).tolist():
-                names[k] = _name(batch.column("id")[k].as_py(), texts[k].as_py())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), texts, pa.array(names, pa.binary())], names=["row", "text", "doc"]
-            )
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out, dropped = [], []
-            for text, lines in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist()):
-                left = set(lines or ())
-                dropped.append(len(left))
-                out.append("\n".join(x for k, x in enumerate(text.split("\n")) if k not in left) if left else text)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(out, pa.string()), pa.array(dropped, pa.int64())],
-                names=["row", "text", "n_dropped"],
-            )
-
-    named_type = StructType([StructField("row", row_type), StructField("text", StringType()), StructField("doc", BinaryType())])
-    named = rows.mapInArrow(name, named_type)
-    straight = named.filter(F.col("doc").isNull()).select("row", "text", F.lit(0).cast("bigint").alias("n_dropped"))
-    held = named.filter(F.col("doc").isNotNull()).join(gone, "doc", "left").select("row", "text", "gone")
-    done = straight.unionByName(held.mapInArrow(cut, straight.schema))
-    n = F.length("row.text") - F.length(F.replace(F.col("row.text"), F.lit("\n"))) + 1
-    return done.select(
-        F.col("row"),
-        F.col("text").alias("__text"),
-        F.struct(F.coalesce(n, F.lit(1)).cast("bigint").alias("n"), "n_dropped").alias("__lines"),
-    ).select(
-        *[F.col("__text").alias(f) if f == "text" else F.col(f"row.`{f}`") for f in row_type.names if f != "lines"],
-        F.col("__lines").alias("lines"),
+            column = batch.column("row")
+            for first, texts in _chunks(column.field("text")):
+                ids = column.field(id_column).slice(first, len(texts))
+                lines = Lines(texts, least_chars)
+                names: list[bytes | None] = [None] * len(texts)
+                for k in np.unique(lines.text[_suspected(lines, twice.value, bits)]).tolist():
+                    names[k] = _name(ids[k].as_py(), texts[k].as_py())
+                part = [column.slice(first, len(texts)), pa.array(names, pa.binary())]
+                yield pa.RecordBatch.from_arrays(part, names=["row", "doc"])
+
+    named = rows.mapInArrow(name, StructType([row, StructField("doc", BinaryType())]))
+    text = F.col("row.text")
+    none = F.lit(0).cast("bigint").alias("n_dropped")
+    straight = named.filter(F.col("doc").isNull()).select("row", text.alias("left"), none)
+    held = named.filter(F.col("doc").isNotNull()).join(gone, "doc", "left")
+    held = held.select(
+        "row",
+        F.when(F.col("gone").isNull(), text).otherwise(_cut(text, F.col("gone"))).alias("left"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_dropped"),
     )
+    n = F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1
+    lines = F.struct(F.coalesce(n, F.lit(1)).cast("bigint").alias("n"), "n_dropped")
+    kept = [
+        F.col("left").alias("text") if f.name == "text" else F.col(f"row.`{f.name}`")
+        for f in row.dataType.fields
+        if f.name != "lines"
+    ]
+    return straight.unionByName(held).select(*kept, lines.alias("lines"))
 
 
 def op13_line_dedup(spark, folder):
