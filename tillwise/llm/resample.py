@@ -155,14 +155,30 @@ def _words_of(cut: Cut):
     return words, pa.nulls(len(words), pa.binary()), counts[short]
 
 
+def _most(counted: DataFrame, most: int) -> list:
+    """The rows whose count reaches a bound: the least of a fixed scale that ``most`` rows reach.
+
+    Counts per step of the scale, some 250 at most, come to the driver, then these rows.
+    """
+    if most <= 0:
+        return []
+    step = F.floor(4 * F.log2("n")).cast("int")
+    stored = settle(counted.withColumn("step", step))
+    bound, reached = None, 0
+    for row in sorted(stored.groupBy("step").count().collect(), reverse=True):
+        reached += row["count"]
+        if reached > most:
+            break
+        bound = row["step"]
+    return [] if bound is None else stored.filter(F.col("step") >= bound).collect()
+
+
 def head_of(frames: list[DataFrame], longest: int, head_words: int, head_pairs: int) -> Head:
     """The most frequent words and, if features have two words or more, pairs of these.
 
-    Counts are exact; of equal ones those first in byte order come first.
+    Counts are exact; at most so many words and pairs are taken.
     """
-    most = F.col("n").desc(), "a", "b"
-    found = _counted(frames, _words_of).orderBy(*most).limit(head_words).collect() if head_words else []
-    words = [bytes(r["a"]) for r in found]
+    words = sorted(bytes(r["a"]) for r in _most(_counted(frames, _words_of), head_words))
     if longest < 2 or not words or not head_pairs:
         return Head(words, [])
     context = frames[0].sparkSession.sparkContext
@@ -177,7 +193,7 @@ def head_of(frames: list[DataFrame], longest: int, head_words: int, head_pairs:
         a, b = np.divmod(keys, max(1, len(cut.words)))
         return cut.words.take(pa.array(a)), cut.words.take(pa.array(b)), counts
 
-    found = _counted(frames, pairs_of).orderBy(*most).limit(head_pairs).collect()
+    found = _most(_counted(frames, pairs_of), head_pairs)
     return Head(words, [(bytes(r["a"]), bytes(r["b"])) for r in found])
 
 
