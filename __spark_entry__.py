@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -9,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oracle.texts import oracle_texts
-from tillwise.functions.columns import day
+from tillwise.functions.columns import day, period
 from tillwise.operators import (
     activity,
     channels,
@@ -20,9 +22,10 @@ from tillwise.operators import (
     segments,
     weights,
 )
-from tillwise.plans import reports
+from tillwise.plans import incremental, reports
 from tillwise.sources.sample_tables import POS_A, POS_B, SampleTables
-from tillwise.sources.shared import settle
+from tillwise.sources import schemas, tables
+from tillwise.sources.shared import settle, shared_folder
 
 try:
     import corpus_pipeline
@@ -35,8 +38,10 @@ except ModuleNotFoundError as gone:
 START, END = date(1996, 1, 1), date(1996, 9, 30)
 AS_OF = date(2001, 9, 1)
 MIN_COHORT = "1996-01"
+LATE = "1996-05"
 LABEL = ("%7%", "Seven", "Not seven")
 RELABEL = {"PROMO": "Promotion", "ECONOMY": "Economy"}
+BUCKETS = 16
 NAMED = ("Supplier#000000002", "Supplier#000000003", "Supplier#000000007 CHURN")
 
 
@@ -95,11 +100,37 @@ def category_popularity_named(t):
     return _categories(t, NAMED)
 
 
-def _categories(t, names):
+def category_popularity_bucketed(t):
+    """The same from orders and items stored in buckets of the order's id."""
+    folder, name = _folder(t)
+    stored = [
+        tables.write_bucketed(df, f"{name}_{what}", f"{folder}/{what}", key, BUCKETS)
+        for what, df, key in (("orders", t.orders, "id"), ("items", t.order_items, "order_fk"))
+    ]
+    return _categories(t, None, *stored)
+
+
+def orders_by_weekday_catalog(t):
+    """The same from catalog tables whose columns have other names."""
+    folder, name = _folder(t)
+    own = t.orders.withColumnsRenamed({"created_at": "placed", "company_ord_fk": "company"})
+    tables.write_catalog(own, f"{name}_orders", f"{folder}/orders")
+    tables.write_catalog(t.companies, f"{name}_companies", f"{folder}/companies")
+    orders = tables.read_catalog(
+        t.spark,
+        f"{name}_orders",
+        schemas.ORDERS,
+        {"created_at": "placed", "company_ord_fk": "company"},
+    )
+    companies = tables.read_catalog(t.spark, f"{name}_companies", schemas.COMPANIES)
+    return _shown(profile.orders_by_weekday(orders, companies))
+
+
+def _categories(t, names, orders=None, items=None):
     result = profile.category_popularity(
         t.companies,
-        t.orders,
-        t.order_items,
+        t.orders if orders is None else orders,
+        t.order_items if items is None else items,
         t.product_items,
         t.products,
         t.categories,
@@ -217,6 +248,34 @@ def union_channel_sales(t):
     )
 
 
+def _folder(t):
+    """A new folder of the session, and a name for tables in it."""
+    name = f"tillwise_{uuid.uuid4().hex}"
+    return f"{shared_folder(t.spark)}/{name}", name
+
+
+def monthly_sales_refreshed(t):
+    """Sales from the sinks: built without a third of one month's facts, then that month again."""
+    x = _inputs(t)
+    sinks = incremental.Sinks(t.spark, _folder(t)[0])
+    stale = lambda ts: (period(ts) != LATE) | (F.day(ts) > 10)
+    before = dataclasses.replace(
+        x,
+        orders=x.orders.filter(stale("created_at")),
+        pos_a_payments=x.pos_a_payments.filter(stale("payment_details.created_at")),
+        pos_b_orders=x.pos_b_orders.filter(stale("payment_details.estimatedfulfillmentdate")),
+    )
+    months = [r[0] for r in x.orders.select(period("created_at")).distinct().collect()]
+    window = [f"{START.year}-{m:02d}" for m in range(START.month, END.month + 1)]
+    incremental.refresh(before, sinks, {*months, *window})
+    incremental.refresh(x, sinks, [LATE])
+    return _shown(
+        incremental.monthly_sales(x, sinks),
+        money="platform_total other_total total_order",
+        ratios="share_per_merchant",
+    )
+
+
 # E. Segments and reports
 
 
@@ -311,6 +370,14 @@ def rfm_base(t):
     return _shown(_rfm_base(t), money="monetary", ratios="overall_share_per_merchant")
 
 
+def rfm_base_today(t):
+    """Recency as of today."""
+    x = reports.with_order_days(_inputs(t))
+    large = segments.top_revenue_quartile(reports.monthly_sales(x))
+    base = rfm.rfm_base(large, x.companies, x.orders)
+    return _shown(base, money="monetary", ratios="overall_share_per_merchant")
+
+
 def rfm_quartiles(t):
     return _shown(
         rfm.rfm_quartiles(_rfm_base(t)), money="monetary", ratios="overall_share_per_merchant"
@@ -372,6 +439,14 @@ def fit_penalized_weights(t):
     return _shown(weights.fit_penalized_weights(_quartiles(t)), ratios=_WEIGHTS)
 
 
+def fit_penalized_weights_csv(t):
+    """The same from a CSV file of the scores, as the scores may come from elsewhere."""
+    path = f"{_folder(t)[0]}/rfm.csv"
+    tables.write_csv(_quartiles(t).select(*[f.name for f in schemas.RFM.fields]), path)
+    scores = tables.read_csv(t.spark, path, schemas.RFM)
+    return _shown(weights.fit_penalized_weights(scores), ratios=_WEIGHTS)
+
+
 def boosted_splits(t):
     return _shown(weights.boosted_splits(_quartiles(t)), ratios="gain")
 
@@ -423,6 +498,8 @@ _QUERIES = (
     orders_by_weekday_named,
     category_popularity,
     category_popularity_named,
+    category_popularity_bucketed,
+    orders_by_weekday_catalog,
     first_activity,
     first_activity_named,
     cohort_activity_matrix,
@@ -442,6 +519,7 @@ _QUERIES = (
     share_by_period,
     channel_totals_by_period,
     union_channel_sales,
+    monthly_sales_refreshed,
     top_revenue_quartile,
     anonymize_by_rank,
     pick_k_top,
@@ -455,6 +533,7 @@ _QUERIES = (
     repeat_vs_first_time_report_top,
     repeat_vs_first_time_report_bottom,
     rfm_base,
+    rfm_base_today,
     rfm_quartiles,
     rfm_report_top,
     rfm_report_bottom,
@@ -464,6 +543,7 @@ _QUERIES = (
     fit_forest_weights,
     fit_boosted_weights,
     fit_penalized_weights,
+    fit_penalized_weights_csv,
     boosted_splits,
     normalize_to_shares,
     apply_weights,

@@ -412,6 +412,19 @@ QUERIES = {
 }
 
 QUERIES |= trees.QUERIES
+# The same results by another way.
+QUERIES |= {
+    "category_popularity_bucketed": QUERIES["category_popularity"],
+    "orders_by_weekday_catalog": QUERIES["orders_by_weekday"],
+    "monthly_sales_refreshed": QUERIES["union_channel_sales"],
+    "fit_penalized_weights_csv": QUERIES["fit_penalized_weights"],
+    "rfm_base_today": """
+        SELECT merchant_name, round(share, 6) AS overall_share_per_merchant,
+               current_date - CAST(last_at AS DATE) AS recency,
+               CAST(last_at AS VARCHAR) AS last_order_date, frequency,
+               round(monetary, 2) AS monetary
+        FROM rfm_large""",
+}
 
 _NAMED = "'Supplier#000000002', 'Supplier#000000003', 'Supplier#000000007 CHURN'"
 QUERIES |= {

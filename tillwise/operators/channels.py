@@ -127,14 +127,40 @@ def channel_sales_in_one_read(
         .agg(F.bool_or("flagged").alias("any_flagged"), *_states())
     )
     flagged = sized(states.filter("any_flagged").select("location_id").distinct())
-    summed = [c for c in states.columns if c.split("_")[-1] in ("total", "rows", "paid")]
-    per_customer = (
-        states.filter(open_)
-        .join(flagged, "location_id", "left_semi")
-        .groupBy("merchant_id", "merchant_name", "month", "customer_id")
-        .agg(*[F.sum(c).alias(c) for c in summed])
+    return _per_merchant(_summed(states.filter(open_).join(flagged, "location_id", "left_semi")))
+
+
+def payment_days(
+    payments: DataFrame, flag: Column, start: date, end: date, status: str = "COMPLETED"
+) -> DataFrame:
+    """Payments by location, day and customer, as states that may be summed further."""
+    return (
+        _facts(payments, flag, start, end, status)
+        .groupBy("location_id", "paid_on", "customer_id")
+        .agg(F.bool_or("flagged").alias("any_flagged"), *_states())
+    )
+
+
+def channel_sales_of_days(
+    days: DataFrame, locations: DataFrame, bridge: DataFrame, spans: DataFrame
+) -> DataFrame:
+    """``channel_sales_by_period`` from the stored ``payment_days``, without the payments."""
+    flagged = days.filter("any_flagged").select("location_id").distinct()
+    places = sized(
+        _open_places(locations, bridge, spans).join(flagged, "location_id", "left_semi")
+    )
+    gated = days.join(places, "location_id").filter(
+        F.col("paid_on").between(F.col("opens"), F.col("closes"))
+    )
+    return _per_merchant(_summed(gated.withColumn("month", month("paid_on"))))
+
+
+def _summed(states: DataFrame) -> DataFrame:
+    """States of payments summed per merchant, month and customer."""
+    names = ["total", *[f"{s}_{x}" for s in _SIDES for x in ("total", "rows", "paid")]]
+    return states.groupBy("merchant_id", "merchant_name", "month", "customer_id").agg(
+        *[F.sum(n).alias(n) for n in names]
     )
-    return _per_merchant(per_customer)
 
 
 def _open_places(locations: DataFrame, bridge: DataFrame, spans: DataFrame) -> DataFrame:

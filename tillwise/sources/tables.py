@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,5 +72,45 @@ def write_parquet(df: DataFrame, path: str, partition_by: str | None = None) ->
     writer.parquet(path)
 
 
+def replace_partitions(df: DataFrame, path: str, by: str, values: Iterable[str]) -> None:
+    """Replace the partitions ``values`` of the table at ``path`` by the rows of ``df``.
+
+    Other partitions stay as they are; rows of other values are not written.  A named partition
+    without rows is removed.  The rows of a partition are gathered into few files.
+    """
+    values = sorted(set(values))
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folders = [jvm.org.apache.hadoop.fs.Path(f"{path}/{by}={value}") for value in values]
+
+    def held(folder) -> set[str]:
+        system = folder.getFileSystem(conf)
+        return {f.getPath().getName() for f in system.listStatus(folder)} if system.exists(folder) else set()
+
+    before = [held(f) for f in folders]
+    writer = df.filter(F.col(by).isin(values)).hint("rebalance", by).write.mode("overwrite")
+    writer.option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    # Spark replaces only partitions that have rows; each write names its files anew.
+    for folder, files in zip(folders, before):
+        if files and held(folder) == files:
+            folder.getFileSystem(conf).delete(folder, True)
+
+
+def write_bucketed(df: DataFrame, name: str, path: str, key: str, buckets: int) -> DataFrame:
+    """Store ``df`` as catalog table ``name`` at ``path``, hashed by ``key`` into buckets.
+
+    Tables of the same number of buckets are joined on their keys without moving either.  Rows
+    are dealt to the buckets before they are written, so each bucket is one sorted file.
+    """
+    writer = df.repartition(buckets, key).write.mode("errorifexists").format("parquet")
+    writer.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def write_catalog(df: DataFrame, name: str, path: str) -> None:
+    """Store ``df`` as catalog table ``name`` with its files at ``path``."""
+    df.write.mode("errorifexists").format("parquet").option("path", path).saveAsTable(name)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").csv(path, header=True)
