@@ -153,7 +153,11 @@ def first_activity_named(t):
 
 def _matrix(t):
     orders = t.stored_orders
-    return cohorts.cohort_activity_matrix(orders, cohorts.first_activity(orders, t.companies))
+    return cohorts.cohort_activity_matrix(
+        orders,
+        cohorts.first_activity(orders, t.companies),
+        merchants=cohorts.merchants_of(t.companies, None),
+    )
 
 
 def cohort_activity_matrix(t):

@@ -310,3 +310,36 @@ def test_sums_are_the_same_for_any_partitions(spark, conf):
             )
         )
     assert found[0] == found[1]
+
+
+def test_customers_are_counted_by_rows_but_for_shared_names(spark):
+    """Two ids of one name: a user at both counts once.  Other names send no user twice."""
+    from tillwise.operators import cohorts
+    from tillwise.plans import reports
+
+    orders = settle(
+        spark.range(4000).select(
+            "id",
+            (F.col("id") % 300).alias("user_id_fk"),
+            (F.col("id") % 7).alias("company_ord_fk"),
+            F.lit(1).cast("long").alias("location_fk"),
+            F.expr("timestamp_ntz'2023-01-05 08:00:00' + make_dt_interval(int(id % 90))").alias("created_at"),
+            F.lit("COMPLETED").alias("orderStatus"),
+            F.lit(2.5).alias("calculated_total"),
+        )
+    )
+    # Ids 0, 1 and 2 share a name.
+    companies = spark.createDataFrame(
+        [(i, f"m{max(0, i - 2)}", 0, "POS_A", i, None) for i in range(7)], schemas.COMPANIES
+    )
+    first = cohorts.first_activity(orders, companies)
+    plainly = cohorts.cohort_activity_matrix(orders, first)
+    merchants = cohorts.merchants_of(companies, None)
+    by_rows = cohorts.cohort_activity_matrix(orders, first, merchants=merchants)
+    got = rows(by_rows)
+    assert got and got == rows(plainly)
+    report = reports.cohort_report(orders, companies, "2023-01", "%1%", "one", "other")
+    rolled = cohorts.cohort_rollup(plainly, "2023-01", "%1%", "one", "other")
+    assert rows(report, *rolled.columns) == rows(rolled)
+    # Users of names of their own are no key of the second shuffle.
+    assert re.search(r"Exchange hashpartitioning\(merchant_name[^)]*if \(shared|CASE WHEN shared", plan(by_rows))

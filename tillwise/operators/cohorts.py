@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tillwise.functions.columns import day, exact_sum, month, named, period
@@ -23,6 +24,22 @@ def merchants_of(companies: DataFrame, names: Iterable[str] | None) -> DataFrame
     )
 
 
+def with_shared_names(merchants: DataFrame) -> DataFrame:
+    """Merchants with ``shared``: does the name belong to several ids?"""
+    ids = F.count("*").over(W.partitionBy("merchant_name"))
+    return merchants.withColumn("shared", ids > 1)
+
+
+def customers_in(shared: Column, user: Column) -> Column:
+    """Distinct users of a group of rows that each have a user of their own per merchant id.
+
+    Rows are counted.  Only where ids share a name can a user stand twice in a group: there, and
+    nowhere else, users are told apart, so hardly any user is shuffled once more.
+    """
+    alone = F.count(F.when(~shared, F.lit(1)))
+    return alone + F.count_distinct(F.when(shared, user))
+
+
 def first_activity(
     orders: DataFrame,
     companies: DataFrame,
@@ -48,13 +65,24 @@ def first_activity(
 
 
 def cohort_activity_matrix(
-    orders: DataFrame, first_activity: DataFrame, status: str = "completed"
+    orders: DataFrame,
+    first_activity: DataFrame,
+    status: str = "completed",
+    merchants: DataFrame | None = None,
 ) -> DataFrame:
     """Distinct customers and revenue per merchant, cohort month and order month.
 
     Orders are first reduced to one row per user, merchant and month.  Orders without a user
-    belong to no cohort.
+    belong to no cohort.  ``merchants`` is ``merchants_of(companies, names)``: with it, users are
+    counted by rows wherever a merchant's name is its own.
     """
+    if merchants is None:
+        shared = F.lit(True)
+    else:
+        per_id = with_shared_names(merchants).groupBy("company_id")
+        names = sized(per_id.agg(F.max("shared").alias("shared")))
+        first_activity = first_activity.join(names, "company_id")
+        shared = F.col("shared")
     monthly = (
         _done(orders, status)
         .filter(F.col("user_id_fk").isNotNull())
@@ -71,7 +99,7 @@ def cohort_activity_matrix(
             "merchant_name", month("first_order_date").alias("cohort_month"), "order_month"
         )
         .agg(
-            F.count_distinct("user_id").alias("active_customers"),
+            customers_in(shared, F.col("user_id")).alias("active_customers"),
             F.sum("revenue").cast("double").alias("total_revenue"),
         )
         .select(

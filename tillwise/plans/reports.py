@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, replace
 from datetime import date
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -109,9 +110,13 @@ class Segment:
 
     sales: DataFrame
     merchants: DataFrame
-    labels: DataFrame
     picked: DataFrame
 
+    @cached_property
+    def labels(self) -> DataFrame:
+        """Ranked only where a report shows them."""
+        return segments.anonymize_by_rank(self.merchants)
+
 
 def segment(
     t: Inputs, descending: bool = True, k: int = 10, sales: DataFrame | None = None
@@ -122,7 +127,6 @@ def segment(
     return Segment(
         sales,
         merchants,
-        segments.anonymize_by_rank(merchants),
         segments.pick_k(merchants, k=k, descending=descending),
     )
 
@@ -221,7 +225,7 @@ def cohort_report(
     Orders are reduced to months per user and merchant, and the first date is the least over
     those months, so the orders are read once and shuffled after that reduction only.
     """
-    merchants = cohorts.merchants_of(companies, names)
+    merchants = cohorts.with_shared_names(cohorts.merchants_of(companies, names))
     monthly = (
         orders.filter((F.lower("orderStatus") == status) & F.col("user_id_fk").isNotNull())
         .groupBy(
@@ -242,7 +246,7 @@ def cohort_report(
         .join(merchants, "company_id")
         .groupBy("merchant_name", "cohort_period", "order_month")
         .agg(
-            F.count_distinct("user_id").alias("active_customers"),
+            cohorts.customers_in(F.col("shared"), F.col("user_id")).alias("active_customers"),
             F.sum("total_revenue").cast("double").alias("total_revenue"),
         )
     )
