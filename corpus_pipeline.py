@@ -1,7 +1,10 @@
 """From documents to token files: quality rules, near copies, benchmark leaks, mixing, token ids.
 
 Each stage takes all that the one before kept, written as Parquet and read again, so a lost
-executor or a restart costs one stage at most.
+executor or a restart costs one stage at most.  Null languages and sources are values like others,
+null texts have no words and fail the first stage.  Of rows that share an id one stays; rows
+without id stay unless their text goes.  An empty table gives an empty result; further columns,
+whatever their names, are kept up to the last stage.
 """
 
 from __future__ import annotations
@@ -9,6 +12,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tillwise.llm import decontaminate, group_join, mixing, rules, token_files
 from tillwise.sources.shared import shared_folder
@@ -20,8 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies."""
-    return group_join.representatives(docs)
+    """One document of each class of near copies: five-word shingles, a similarity of 0.8."""
+    return group_join.representatives(docs, size=5, per_cent=80)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +39,13 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Place, length and checksum of each row's ids, as read back from the token files."""
-    return token_files.digests(docs)
+    """Place, length and checksum of each row's ids, as read back from the token files.
+
+    The files keep the training order, which is that of the stored rows of the stage before.
+    """
+    part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int")
+    order = [part, F.col("_metadata.file_name"), F.col("_metadata.row_index")]
+    return token_files.digests(docs, order=order)
 
 
 STAGES = [

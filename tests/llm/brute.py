@@ -18,16 +18,16 @@ def words(text):
     return WORD.findall(text or "")
 
 
-def shingles(text):
+def shingles(text, size=3):
     w = [x.translate(LOWER) for x in words(text)]
-    if len(w) < 3:
+    if len(w) < size:
         return frozenset([tuple(w)] if w else [])
-    return frozenset(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    return frozenset(tuple(w[i : i + size]) for i in range(len(w) - size + 1))
 
 
-def components(rows):
+def components(rows, size=3, per_cent=90):
     """(doc_id, text) to {doc_id: least doc_id reachable}."""
-    sets = [(i, shingles(t)) for i, t in rows]
+    sets = [(i, shingles(t, size)) for i, t in rows]
     up = {i: i for i, _ in sets}
 
     def root(x):
@@ -37,7 +37,7 @@ def components(rows):
 
     for i, a in sets:
         for j, b in sets:
-            if i < j and a and b and 100 * len(a & b) >= 90 * len(a | b):
+            if i < j and a and b and 100 * len(a & b) >= per_cent * len(a | b):
                 x, y = root(i), root(j)
                 up[max(x, y)] = min(x, y)
     return {i: root(i) for i in up}

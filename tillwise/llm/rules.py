@@ -15,6 +15,7 @@ all documents.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -242,20 +243,25 @@ def estimates(vectors: DataFrame, support: float = SUPPORT, steps: int = STEPS)
     return params
 
 
-def judge(docs: DataFrame, cut: float | None = None, least_rows: int = LEAST_ROWS, **options) -> DataFrame:
+def judge(
+    docs: DataFrame, cut: float | None = None, least_rows: int = LEAST_ROWS, keys: Sequence[Column] = (), **options
+) -> DataFrame:
     """One row per document: ``doc_id``, ``stats``, ``distance``, ``base_failed`` and ``kept``.
 
+    ``keys``, expressions over ``docs``, follow under their names.
+
     Base rules: fewer than 10 words, or more than 20 % of the words in repeated windows, fail.
     Null texts have no words.  Null languages and sources form groups.  Documents that fail the
     base rules are left out of the estimates but still get a distance.  ``cut`` is ``cut_at`` of
     the support unless given.  An empty table gives no rows; without a single document that passes the base rules all fail.
     """
     cut = cut_at(support=options.get("support", SUPPORT)) if cut is None else cut
-    narrow = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), "text")
+    narrow = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), "text", *keys)
+    names = narrow.columns[4:]
     stated = settle(statistics(narrow).drop("text"))
     s = F.col("stats")
     failed = (s["n_words"] < 10) | (100 * s["n_repeat_words"] > 20 * s["n_words"])
-    rows = stated.select("doc_id", "lang", "source", "stats", failed.alias("base_failed"), *_vector())
+    rows = stated.select("doc_id", *names, "lang", "source", "stats", failed.alias("base_failed"), *_vector())
     vectors = settle(rows.filter(~F.col("base_failed")).select("lang", "source", *NAMES))
     params = estimates(vectors, **options)
     small = (
@@ -271,18 +277,20 @@ def judge(docs: DataFrame, cut: float | None = None, least_rows: int = LEAST_ROW
         placed = placed.withColumn(g, F.when(~F.col("whole"), F.col(g)))
     scored = _with(placed, params, "left").withColumn("distance", _whitened())
     good = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cut)
-    return scored.select("doc_id", "stats", "distance", "base_failed", good.alias("kept"))
+    return scored.select("doc_id", "stats", "distance", "base_failed", good.alias("kept"), *names)
 
 
 def clean(docs: DataFrame, **options) -> DataFrame:
     """The documents that ``judge`` keeps, columns unchanged.
 
-    Verdicts come back by doc_id, as the ids to leave out; rows that share a doc_id stay only if
-    all of them are kept.
+    A verdict depends on text, language and source, so each row has its own, whatever its id:
+    those to leave out come back by a digest of the three.
     """
-    gone = judge(docs, **options).filter("not kept").select(F.col("doc_id").alias("__doc_id")).distinct()
-    gone = sized(settle(gone))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__doc_id")), "left_anti")
+    held = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in ("lang", "source", "text")]
+    digest = F.md5(F.concat_ws("\1", *held).cast("binary"))
+    judged = judge(docs, keys=[digest.alias("__digest")], **options)
+    gone = sized(settle(judged.filter("not kept").select(F.col("__digest").alias("__gone")).distinct()))
+    return docs.join(gone, digest == F.col("__gone"), "left_anti")
 
 
 def op8_robust_rules(spark, folder):

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -145,23 +145,6 @@ class TextEncoder:
         shift = np.repeat(self.begin[place] - (np.cumsum(length) - length), length)
         return self.flat[shift + np.arange(len(shift))]
 
-    def _plain(self, text: str) -> list[int]:
-        look = self.look
-        pieces = (text,) if text[1:].isalpha() and text[0] == " " else self.PIECES.findall(text)
-        return [t.id for p in pieces for t in look(p.translate(self.BYTES))]
-
-    def _word(self, key: str) -> list[int]:
-        """Ids of a key: a word (a space before it), "\\n" and a word, or " " and the first of a text."""
-        if key.isascii() and key.isalpha():
-            return [t.id for t in self.look("Ġ" + key)]
-        mark = key[:1] if key[:1] in ("\n", " ") else ""
-        if not self.PLAIN.fullmatch(key, len(mark)):
-            text = key[1:] if mark == " " else key if mark else " " + key
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        if mark:
-            return (self.newline if mark == "\n" else []) + self._plain(key[1:])
-        return self._plain(" " + key)
-
     def _learn(self):
         new, self.seen.new = self.seen.new, []
         ids = list(map(self._word, new))
@@ -313,9 +296,10 @@ BLOCKS = "part int, block int, n_tokens bigint, data binary"
 _NAMES = ["part", "block", "n_tokens", "data"]
 
 
-def _tokenise(path: str, block_tokens: int):
+def _tokenise(path: str, block_tokens: int, keep_words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = per_process(("encoder", path), lambda: TextEncoder(path))
+        build = lambda: TextEncoder(path)
+        encoder = per_process(("encoder", path), build) if keep_words else build()
         part, block = TaskContext.get().partitionId(), 0
         documents, size, counts = [], 0, np.zeros(0, np.int64)
 
@@ -358,7 +342,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _coder(shared) -> Coder:
-    return per_process(("coder", shared.value[0]), lambda: Coder(shared.value[1]))
+    """The coder of the folder at hand; a worker keeps one."""
+    name, freq = shared.value
+    kept = per_process("coder", dict)
+    if name not in kept:
+        kept.clear()
+        kept[name] = Coder(freq)
+    return kept[name]
 
 
 def _share(spark: SparkSession, tokens: DataFrame):
@@ -370,18 +360,33 @@ def _share(spark: SparkSession, tokens: DataFrame):
     return spark.sparkContext.broadcast((uuid.uuid4().hex, freq))
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, block_tokens: int = BLOCK_TOKENS) -> None:
+def write_tokens(
+    docs: DataFrame,
+    folder: str,
+    tokenizer: str,
+    block_tokens: int = BLOCK_TOKENS,
+    order: Sequence[Column] | None = None,
+    keep_words: bool = True,
+) -> None:
     """Write the ids of ``docs`` to a new token folder.
 
-    Null and empty texts consist of the end id alone.  Null ids come first; rows that share a
-    doc_id are ordered by text and all written.  Other columns are not read.  An empty table gives
-    an empty folder of the same form.
+    Null and empty texts consist of the end id alone.  Documents are written by ascending doc_id,
+    null first; rows that share a doc_id are ordered by text and all written.  Or they are written
+    by ``order``, columns that should tell rows apart.  Other columns are not read.  An
+    empty table gives an empty folder of the same form.  Python workers keep the words they have
+    met for their next task, some 200 MB at most, or drop them with each task.
     """
     spark = docs.sparkSession
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
-    ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    ordered = ordered.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
-    stored = settle(ordered.mapInArrow(_tokenise(tokenizer, block_tokens), BLOCKS))
+    narrow = [F.col("doc_id").cast("bigint").alias("doc_id"), "text"]
+    if order is None:
+        by = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
+        ordered = docs.select(*narrow).repartitionByRange(*by[:2]).sortWithinPartitions(*by)
+    else:
+        names = [f"__order_{k}" for k in range(len(order))]
+        placed = docs.select(*narrow, *[c.alias(n) for c, n in zip(order, names)])
+        placed = placed.repartitionByRange(*names).sortWithinPartitions(*names)
+        ordered = placed.select("doc_id", "text")
+    stored = settle(ordered.mapInArrow(_tokenise(tokenizer, block_tokens, keep_words), BLOCKS))
     raw, counts = stored.filter("block >= 0"), stored.filter("block < 0").select("data")
     counts = counts.mapInArrow(_count, "token bigint, n bigint")
     counts = counts.groupBy("token").agg(F.sum("n").alias("n")).collect()
@@ -453,11 +458,11 @@ def new_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
 
 
-def digests(docs: DataFrame) -> DataFrame:
+def digests(docs: DataFrame, **options) -> DataFrame:
     """Write the documents as a token folder, read it back, and describe each document's ids."""
     spark = docs.sparkSession
     folder = new_folder(spark)
-    write_tokens(docs, folder, tokenizer_path())
+    write_tokens(docs, folder, tokenizer_path(), **options)
     return read_tokens(spark, folder).select(
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
     )
