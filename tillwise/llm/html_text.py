@@ -11,6 +11,9 @@ template, and the slots of menus, notices and the like, are left out; the remain
 page order, are the text.
 
 The template of a host is bounded: only tokens on at least a fifth of its pages can enter it.
+Pages of a host with the same html are one page in its vectors, however often they were fetched:
+else all of a page that stands there five times would be its host's template.  Headings inside
+an article stay, even where each article has them: they name the slots that follow.
 """
 
 from __future__ import annotations
@@ -62,6 +65,8 @@ _TAG = re.compile(
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WHITE = re.compile(r"\s+")
 
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
 #: Share of a host's pages on which a token of the template must occur, and least pages.
 SUPPORT = 0.2
 LEAST_PAGES = 4
@@ -176,7 +181,8 @@ def extract(page: str | None, constant: frozenset[int] = frozenset(), known: fro
         plain = _plain("".join(t for _, t, _ in block))
         if not plain:
             continue
-        if all(_key(node.path, _plain(t)) in constant for _, t, _ in block if not t.isspace()):
+        named = marked and node.name in HEADINGS
+        if not named and all(_key(node.path, _plain(t)) in constant for _, t, _ in block if not t.isspace()):
             continue
         if not marked and _key(node.path) in known and all(linked for _, t, linked in block if not t.isspace()):
             continue
@@ -190,7 +196,7 @@ TOKENS = "host string, token bigint, role string, parent string, is_text boolean
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sums: dict[tuple, list] = {}
-        for host, page_id, page in zip(*(batch.column(c).to_pylist() for c in ("host", "page_id", "html"))):
+        for host, page_id, page in zip(*(batch.column(c).to_pylist() for c in ("host", "digest", "html"))):
             for token, (role, parent, is_text, n) in tokens(page).items():
                 mark = _key(str(page_id), str(n))
                 row = sums.setdefault((host, token), [role, parent, is_text, 0, 0])
@@ -209,6 +215,20 @@ def with_host(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html", host.alias("host"))
 
 
+def different_pages(hosted: DataFrame) -> DataFrame:
+    """``host``, ``digest`` and ``html`` of the pages, those of one host and html once.
+
+    Only pages that stand there several times are shuffled, and these are reduced first.
+    """
+    html_of = F.coalesce(F.col("html"), F.lit(""))
+    keyed = hosted.select("host", F.md5(html_of.cast("binary")).alias("digest"), html_of.alias("html"))
+    repeated = keyed.groupBy("host", "digest").agg(F.count("*").alias("n")).filter("n > 1")
+    repeated = sized(settle(repeated.select("host", "digest")))
+    alone = keyed.join(repeated, ["host", "digest"], "left_anti")
+    several = keyed.join(repeated, ["host", "digest"], "left_semi")
+    return alone.unionByName(several.groupBy("host", "digest").agg(F.first("html").alias("html")))
+
+
 def templates(pages: DataFrame, support: float = SUPPORT, least_pages: int = LEAST_PAGES) -> DataFrame:
     """Per host: ``roles`` and ``constants``, token hashes of valid classes.
 
@@ -216,8 +236,8 @@ def templates(pages: DataFrame, support: float = SUPPORT, least_pages: int = LEA
     is on enough pages too.  A class of text nodes is valid when its vector equals that of a
     class of tags: it then occurs just where that part of the template does.
     """
-    hosted = with_host(pages)
-    counted = hosted.select("host", "page_id", "html").mapInArrow(_count, TOKENS)
+    hosted = different_pages(with_host(pages))
+    counted = hosted.mapInArrow(_count, TOKENS)
     counted = counted.groupBy("host", "token", "role", "parent", "is_text").agg(
         F.sum("pages").alias("pages"), F.bit_xor("print").alias("print")
     )
@@ -254,7 +274,8 @@ def main_text(pages: DataFrame, **options) -> DataFrame:
 
     Null html gives "".  Pages without a host share the host "".  Hosts with fewer than
     ``least_pages`` pages have no template: their pages are read by the element rules alone.
-    Repeated pages count as pages of their host like any other.  Other columns are not read.
+    Pages of one host with the same html count as one; each still gets its text.  Other columns
+    are not read.
     """
     found = sized(settle(templates(pages, **options)))
     hosted = with_host(pages)
