@@ -34,16 +34,23 @@ CLASSES = (
     (r"[A-Za-z0-9]+", 3.7),
     (r"[A-Za-z0-9+/_-]+", 3.8),
 )
+#: What a part between separators is if it is no secret: words (small letters, with a capital
+#: before them or not, or capitals, two letters or more), a number, or a part that says that it is
+#: an example.  Repeats are possessive, so that no candidate is tried in many ways.
+_PART = (
+    r"(?:(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+)++|[0-9]++"
+    r"|[A-Za-z0-9]*?(?:(?i:example|sample|dummy|placeholder)|[xX]{4})[A-Za-z0-9]*+)"
+)
 #: Candidates that are no secrets whatever their entropy: prose, numbers, joined words, account
-#: numbers, identifiers of the form 8-4-4-4-12, and strings that say they are examples.
+#: numbers, identifiers of the form 8-4-4-4-12, and strings that say in each doubtful part that
+#: they are examples.
 ALLOWED = (
     r"^[A-Z]?[a-z]+$",
     r"^[A-Z]+$",
     r"^[0-9+/_-]+$",
-    r"^[A-Za-z]+([+/_-]+[A-Za-z]+)*[+/_-]*$",
+    rf"^[+/_-]*+(?:{_PART}(?:[+/_-]++|$))+$",
     r"^[A-Z]{2}[0-9]{13,32}$",
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    r"(?i)example|sample|dummy|placeholder|xxxx",
 )
 _BLOCK = 128
 _SPAN = "struct<start:int,kind:int,end:int>"
