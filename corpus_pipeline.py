@@ -45,7 +45,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int")
     order = [part, F.col("_metadata.file_name"), F.col("_metadata.row_index")]
-    return token_files.digests(docs, order=order)
+    return token_files.digests(docs, order=order, keep_words=False)
 
 
 STAGES = [
