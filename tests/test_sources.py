@@ -140,3 +140,16 @@ def test_only_plain_local_masters_get_a_folder_of_their_own(monkeypatch):
     for master in ("local-cluster[2,1,512]", "yarn", "spark://local:7077"):
         with pytest.raises(RuntimeError):
             shared.shared_folder(Session(master))
+
+
+def test_some_stored_tables_can_be_released(spark):
+    import os
+
+    from tillwise.sources import shared
+
+    first, second = (shared.settle(spark.range(n)) for n in (3, 5))
+    mine = shared.stored_tables(spark)[-2:]
+    assert shared.release(spark, mine[:1]) == 1
+    assert not os.path.exists(mine[0].removeprefix("file:")) and second.count() == 5
+    assert mine[0] not in shared.stored_tables(spark) and mine[1] in shared.stored_tables(spark)
+    assert shared.release(spark, mine[:1]) == 0

@@ -12,6 +12,7 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,12 +48,21 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
+def stored_tables(spark: SparkSession) -> list[str]:
+    """The folders of the tables that this session has stored, in order."""
+    return list(_written.get(spark.conf.get("spark.app.id", "local"), []))
+
+
+def release(spark: SparkSession, only: Iterable[str] | None = None) -> int:
     """Remove the tables that this session has stored, and nothing else; return their number.
 
-    Call it when the results that were built on them have been read or written.
+    Call it when the results that were built on them have been read or written.  ``only`` names
+    some of ``stored_tables``.
     """
-    paths = _written.pop(spark.conf.get("spark.app.id", "local"), [])
+    app = spark.conf.get("spark.app.id", "local")
+    chosen = set(_written.get(app, []) if only is None else only)
+    paths = [p for p in _written.get(app, []) if p in chosen]
+    _written[app] = [p for p in _written.get(app, []) if p not in chosen]
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
         folder = jvm.org.apache.hadoop.fs.Path(path)
