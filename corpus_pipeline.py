@@ -9,35 +9,63 @@ whatever their names, are kept up to the last stage.
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwise.llm import decontaminate, group_join, mixing, rules, token_files
-from tillwise.sources.shared import shared_folder
+from tillwise.sources.shared import release, shared_folder, stored_tables
 
 
+_tables: dict[str, list[str]] = {}
+
+
+def _stage(work: Callable) -> Callable:
+    """A stage that first removes what the stage before has stored for itself.
+
+    The result of that one must be written by then, as ``run`` does.
+    """
+
+    @functools.wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        app = spark.conf.get("spark.app.id", "local")
+        release(spark, _tables.pop(app, []))
+        before = set(stored_tables(spark))
+        result = work(spark, docs, sf_dir)
+        _tables[app] = [t for t in stored_tables(spark) if t not in before]
+        return result
+
+    return run_stage
+
+
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the outlier rule keep."""
     return rules.clean(docs)
 
 
+@_stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies: five-word shingles, a similarity of 0.8."""
     return group_join.representatives(docs, size=5, per_cent=80)
 
 
+@_stage
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_stage
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the curriculum takes, once per copy, in training order."""
     return mixing.mix(docs)
 
 
+@_stage
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Place, length and checksum of each row's ids, as read back from the token files.
 
