@@ -410,6 +410,16 @@ def test_group_join(spark, odd, none):
     assert {(r.doc_id, r.component_id) for r in group_join.similar_classes(unnamed).collect()} == {(None, None), (1, 1)}
 
 
+@pytest.mark.parametrize("size, per_cent, n", [(3, 90, 9), (3, 90, 8), (5, 80, 4), (5, 80, 3), (3, 75, 3), (3, 100, 4)])
+def test_small_sets_link_with_sets_that_hold_one_more(spark, size, per_cent, n):
+    words = [f"w{k}" for k in range(n + size - 1)]
+    texts = [(1, " ".join(words)), (2, " ".join([*words, "end"])), (3, " ".join(["begin", *words]))]
+    got = group_join.similar_classes(spark.createDataFrame(texts, "doc_id bigint, text string"), size, per_cent).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute.components(texts, size, per_cent)
+    assert {r.doc_id: r.n_shingles for r in got} == {1: n, 2: n + 1, 3: n + 1}
+    assert (len({r.component_id for r in got}) == 1) == (100 * n >= per_cent * (n + 1))
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 140)] + [(5, 5)]
     got = components(spark.createDataFrame(links, "a bigint, b bigint")).collect()

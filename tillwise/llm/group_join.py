@@ -113,8 +113,8 @@ def _bucket_counts(described_docs: DataFrame) -> np.ndarray:
 
 
 def _telling(docs: DataFrame, counts: np.ndarray, size: int, per_cent: int) -> DataFrame:
-    """``token``, ``id``, ``n``, ``place``: the telling tokens of each set in their order.  Sets of fewer than
-    ``100 / (100 - per_cent)`` tokens are similar to equal sets only and have none."""
+    """``token``, ``id``, ``n``, ``place``: the telling tokens of each set in their order.  Sets so small that
+    one token more or less is too much are similar to equal sets only and have none."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +124,7 @@ def _telling(docs: DataFrame, counts: np.ndarray, size: int, per_cent: int) -> D
             for doc_id, s in zip(few.column("doc_id").to_pylist(), shingle_sets(texts, size)):
                 n = len(s)
                 least = least_overlap(n, per_cent)
-                if not n or least == n:
+                if not n or (least == n and 100 * n < per_cent * (n + 1)):
                     continue
                 rank = common[s >> np.uint64(64 - BUCKET_BITS)].astype(np.uint64) << np.uint64(32)
                 first = np.argsort(rank | (s & np.uint64(0xFFFFFFFF)), kind="stable")[: n - least + 1]
