@@ -1,6 +1,9 @@
 """The pipeline against its brute-force version on a small corpus."""
 
 import collections
+import os
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,3 +80,31 @@ def test_stages_on_odd_rows(spark, made, request, tmp_path):
             # Of 6 and 7, near copies, and of the rows with id 3 one stays each.
             assert sorted(map(str, (i for i, _ in found))) == ["1", "2", "3", "6", "None"]
     assert set(CLASH) <= set(columns)
+
+
+FREED = """
+import re
+from tillwise.llm import common
+
+def held():
+    return int(re.search(r"Anonymous:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()).group(1)) // 1024
+
+def run(batches):
+    # Small pieces that stay between large ones keep the heap from shrinking by itself.
+    made = [bytes(2000) for _ in range(100_000)]
+    pins.extend(made[::500])
+    del made
+    yield held()
+
+pins, before = [], held()
+(inside,) = common.giving_back(run)(iter(()))
+print(inside - before, held() - before)
+"""
+
+
+@pytest.mark.skipif(sys.platform != "linux", reason="reads /proc")
+def test_tasks_give_back_memory():
+    folder = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
+    said = subprocess.run([sys.executable, "-c", FREED], cwd=folder, capture_output=True, text=True, check=True, timeout=100)
+    inside, after = map(int, said.stdout.split())
+    assert inside > 100 and after < 50

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tillwise.llm.common import table
+from tillwise.llm.common import giving_back, table
 from tillwise.llm.components import components
 from tillwise.llm.shingles import shingle_sets
 from tillwise.sources.shared import settle, sized
@@ -89,7 +89,7 @@ def described(docs: DataFrame, size: int = SIZE) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, types)], names=names)
 
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return narrow.mapInArrow(run, "doc_id bigint, n bigint, sig binary, sketch binary, chunk int")
+    return narrow.mapInArrow(giving_back(run), "doc_id bigint, n bigint, sig binary, sketch binary, chunk int")
 
 
 def _bucket_counts(described_docs: DataFrame) -> np.ndarray:
@@ -136,7 +136,7 @@ def _telling(docs: DataFrame, counts: np.ndarray, size: int, per_cent: int) -> D
                 columns = [pa.array(np.concatenate(c)) for c in (tokens, ids, sizes, places)]
                 yield pa.RecordBatch.from_arrays(columns, names=["token", "id", "n", "place"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "token bigint, id bigint, n int, place int")
+    return docs.select("doc_id", "text").mapInArrow(giving_back(run), "token bigint, id bigint, n int, place int")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, size: int, per_cent: int) -> DataFrame:
@@ -171,7 +171,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, size: int,
             yield pa.RecordBatch.from_arrays([few.column("doc_id"), pa.array(sets, pa.binary())], names=["id", "tokens"])
 
     texts = docs.join(wanted, F.col("doc_id") == F.col("wanted"), "left_semi")
-    sets = texts.select("doc_id", "text").mapInArrow(sets_of, "id bigint, tokens binary").distinct()
+    sets = texts.select("doc_id", "text").mapInArrow(giving_back(sets_of), "id bigint, tokens binary").distinct()
     sets = settle(sets)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +186,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, size: int,
     left = sets.select(F.col("id").alias("id_x"), F.col("tokens").alias("x"))
     right = sets.select(F.col("id").alias("id_y"), F.col("tokens").alias("y"))
     whole = likely.join(left, F.col("a") == F.col("id_x")).join(right, F.col("b") == F.col("id_y"))
-    return settle(whole.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint").distinct())
+    return settle(whole.select("a", "b", "x", "y").mapInArrow(giving_back(compare), "a bigint, b bigint").distinct())
 
 
 def _grouped(entries: DataFrame, classes: DataFrame | None) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tillwise.llm.common import table
+from tillwise.llm.common import giving_back, table
 from tillwise.sources.shared import settle, shared_folder
 
 LANES = 1024
@@ -330,7 +330,7 @@ def _tokenise(path: str, block_tokens: int, keep_words: bool):
         types_ = [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, types_)], names=_NAMES)
 
-    return run
+    return run if keep_words else giving_back(run)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -445,7 +445,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids"],
                 )
 
-    return placed.select("start", "data").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
+    return placed.select("start", "data").mapInArrow(giving_back(run), "doc_id bigint, start bigint, n_tokens bigint, ids binary")
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
