@@ -20,19 +20,25 @@ from tillwise.llm import decontaminate, group_join, mixing, rules, token_files
 from tillwise.sources.shared import release, shared_folder, stored_tables
 
 
+#: Bytes of rows that a stage hands to a Python worker at a time.  Spark's own bound, 64 MB, is held
+#: several times over outside the heap: by the writer, the worker and the reader of each task.
+BATCH_BYTES = 4 * 1024 * 1024
+
 _tables: dict[str, list[str]] = {}
 
 
 def _stage(work: Callable) -> Callable:
     """A stage that first removes what the stage before has stored for itself.
 
-    The result of that one must be written by then, as ``run`` does.
+    The result of that one must be written by then, as ``run`` does.  The session's Arrow batches
+    are bounded by ``BATCH_BYTES`` from then on, as the result is read after the stage returns.
     """
 
     @functools.wraps(work)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         app = spark.conf.get("spark.app.id", "local")
         release(spark, _tables.pop(app, []))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
         before = set(stored_tables(spark))
         result = work(spark, docs, sf_dir)
         _tables[app] = [t for t in stored_tables(spark) if t not in before]

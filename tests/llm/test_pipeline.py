@@ -5,6 +5,7 @@ import os
 import subprocess
 import sys
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,3 +109,23 @@ def test_tasks_give_back_memory():
     said = subprocess.run([sys.executable, "-c", FREED], cwd=folder, capture_output=True, text=True, check=True, timeout=100)
     inside, after = map(int, said.stdout.split())
     assert inside > 100 and after < 50
+
+
+def test_stages_hand_over_small_batches(spark, monkeypatch):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    monkeypatch.setattr(corpus_pipeline, "_tables", {})
+    docs = spark.createDataFrame([(i,) for i in range(300)], "doc_id long").coalesce(1)
+    docs = docs.withColumn("text", F.repeat(F.col("doc_id").cast("string"), 100_000))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+    try:
+        stage = corpus_pipeline._stage(lambda spark, docs, folder: docs.mapInArrow(sizes, "n long, size long"))
+        got = stage(spark, docs, SMALL).collect()
+    finally:
+        spark.conf.set(name, before)
+    assert sum(r.n for r in got) == 300
+    assert max(r["size"] for r in got) < 2 * corpus_pipeline.BATCH_BYTES < sum(r["size"] for r in got)
