@@ -21,6 +21,7 @@ from tillwise.llm import (
     token_files,
 )
 from tillwise.llm.components import components
+from tillwise.sources.shared import stored_tables
 
 SMALL = "/root/testdata/sf0.001"
 NUMBERS = " ".join(str(x) for x in range(300))
@@ -256,6 +257,36 @@ def test_suffix_dedup(spark, none):
     assert suffix_dedup.deduplicated(none).count() == 0
 
 
+@pytest.mark.parametrize("length", [20, 50, 100])
+@pytest.mark.parametrize("letters", [1, 2, 5])
+def test_suffix_order(length, letters):
+    rng = np.random.default_rng(length + letters)
+    drawn = [bytes(rng.integers(0, letters, n).astype(np.uint8)) for n in rng.integers(length, length + 60, 60)]
+    pieces = list(dict.fromkeys([*drawn, *[p[3:] + b"\0" for p in drawn if len(p) > length + 3]]))
+    docs = rng.permutation(len(pieces)).astype(np.int64)
+    windows = [[p[k : k + length] for k in range(len(p) - length + 1)] for p in pieces]
+    least = {}
+    for doc, own in zip(docs.tolist(), windows):
+        least |= {w: min(least.get(w, doc), doc) for w in own}
+    assert suffix_dedup.least_docs(pieces, docs, length).tolist() == [least[w] for own in windows for w in own]
+
+
+def test_suffix_dedup_stores_nothing(spark):
+    """Copies, a line that stands everywhere, and repeats longer than a piece; no table is stored."""
+    rng = np.random.default_rng(8)
+    line = "This line of more than fifty bytes stands in every text of the table."
+    own = ["".join(rng.choice(list("abcdefgh "), 400)) for _ in range(30)]
+    rows = [(100 + i, f"{t}\n{line}\n{own[i // 2][50:150]}") for i, t in enumerate(own)]
+    rows += [(i, rows[4][1]) for i in (3, 90, 140, 141)] + [(7, "z" * 9000), (6, "z" * 5000 + line), (8, "z" * 60 + own[3])]
+    df = _framed(spark, [(i, t, "", "") for i, t in rows]).repartition(5)
+    before = stored_tables(spark)
+    found = suffix_dedup.deduplicated(df).select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("r"), F.size("spans").alias("s"), F.sha2("kept", 256).alias("h")
+    )
+    assert _got(found) == _sorted(brute.removed(rows))
+    assert stored_tables(spark) == before
+
+
 # 6
 
 

@@ -1,34 +1,45 @@
 """Suffix-array dedup: repeated byte strings of 50 bytes, by a distributed difference cover.
 
-Suffixes are sorted by the DC3 algorithm: the triples at two of three positions are named by
-their rank; the string of names is sorted by recursion; with those ranks the remaining suffixes
-are sorted and merged.  Everything is done by range partitions and their totals: names are the
-number of smaller distinct triples, and merging counts, for each suffix, the suffixes of the other
-kind before it under a key that both kinds have.  As only prefixes of 50 bytes matter, the
-recursion ends as soon as its names cover them.  Then adjacent prefixes are compared.
-
-Only stretches of text that may repeat are sorted.  Each window of 50 bytes has an anchor, the
-substring of 20 bytes with the least hash in it; equal windows have equal anchors, so a window
-whose anchor is found in one document only repeats nowhere.  That loses nothing.
+Spark deals the windows of 50 bytes by their anchor value, the least hash among the substrings of
+20 bytes in them: equal windows have equal values, so they meet in one bucket.  Windows next to
+each other with the same value travel as one piece of text; a bucket holds each different piece
+once, with the rows where it occurs.
+
+Within a bucket the suffixes of the pieces are sorted by the DC3 algorithm over characters of 6
+bytes: the triples at two of three places are named by their rank, triples of names are named
+again until they cover 50 bytes, and with those ranks the remaining suffixes are sorted and
+merged.  Then adjacent prefixes of 50 bytes are compared: a run of equal ones is one string, and
+the least doc_id of its pieces decides for all of its places.
+
+Only what may repeat gets that far.  A first pass sends 4 bytes of each anchor value and its doc_id;
+windows whose value is found in one document only repeat nowhere.  That loses nothing.  In both
+passes a task holds back what its own rows settle, so a text or line that stands in very many rows
+is sent a few times a task.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.llm.common import running_total, table
-from tillwise.sources.shared import settle
+from tillwise.llm.common import giving_back, table
 
 LENGTH = 50
 ANCHOR = 20
+#: Bytes of text for each bucket, bytes of pieces that are sorted together, and windows of a piece.
+BUCKET_BYTES = 4 << 20
+SORT_BYTES = 40_000
+PIECE_WINDOWS = 4096
+#: Bytes of a character of the sort: with the place of one in 65,536 it fits in 8 bytes.
+CHAR = 6
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_LOW = np.uint64(32)
 
 
 def _raw(text: str | None) -> bytes:
@@ -39,17 +50,18 @@ def _print(raw: bytes) -> int:
     return xxhash.xxh64_intdigest(raw) - (1 << 63)
 
 
-def anchors(raw: bytes, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the anchors of all windows."""
+def anchors(raw: bytes, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end, value) of the stretches of windows with one anchor value."""
     n = len(raw) - anchor + 1
     wide = length - anchor + 1
     if n < wide:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     padded = raw + bytes(8)
     views = [np.ndarray((n,), "<u8", padded, at, (1,)) for at in [*range(0, anchor - 7, 8), anchor - 8]]
     h = np.zeros(n, np.uint64)
     for v in views:
-        h = (h ^ v) * _A
+        h ^= v
+        h *= _A
         h ^= h >> np.uint64(31)
     h *= _B
     least, span = h, 1
@@ -57,225 +69,313 @@ def anchors(raw: bytes, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.
         step = min(span, wide - span)
         least = np.minimum(least[: len(least) - step], least[step:])
         span += step
-    # Equal hashes in one window: all of their places are anchors.
-    new = np.concatenate([[True], least[1:] != least[:-1]])
-    values = np.unique(least[new])
-    places = np.flatnonzero(np.isin(h, values))
-    return places, h[places]
+    begin = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    end = np.append(begin[1:], len(least))
+    if (end - begin).max() > PIECE_WINDOWS:
+        parts = [np.arange(a, b, PIECE_WINDOWS) for a, b in zip(begin.tolist(), end.tolist())]
+        begin = np.concatenate(parts)
+        end = np.append(begin[1:], len(least))
+    return begin, end, least[begin]
+
+
+def _codes(values: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and 4 bytes of each value.  Values that share a code are only taken for one."""
+    return ((values >> _LOW) % np.uint64(buckets)).astype(np.int64) << 32 | (values & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def _batch(names: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names.split())
 
 
-def stretches(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``doc_id``, ``print`` (of the text), ``begin`` and ``data`` of what may repeat."""
+def _packed(numbers: np.ndarray) -> bytes:
+    """Differences of 8-byte numbers, byte planes apart, compressed."""
+    planes = np.diff(numbers, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T
+    return zstandard.compress(planes.tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
+    return planes.T.copy().view("<i8").ravel().cumsum()
+
+
+def _dense(keys: np.ndarray) -> np.ndarray:
+    """Ranks from 1 upwards; equal keys have equal ranks."""
+    bits = np.uint64(max(1, len(keys).bit_length()))
+    if int(keys.max(initial=0)).bit_length() + int(bits) <= 64:
+        # Key and place in one number: sorting numbers takes a third of the time of sorting places.
+        ordered = np.sort(keys << bits | np.arange(len(keys), dtype=np.uint64))
+        at = (ordered & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        ordered >>= bits
+    else:
+        at = np.argsort(keys)
+        ordered = keys[at]
+    new = np.ones(len(keys), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    ranks = np.empty(len(keys), np.int64)
+    ranks[at] = np.cumsum(new)
+    return ranks
+
+
+def _ranks(*columns: np.ndarray) -> np.ndarray:
+    """The same for rows of ranks."""
+    key = columns[0].astype(np.uint64)
+    for c in columns[1:]:
+        bits = int(c.max(initial=0)).bit_length()
+        if int(key.max(initial=0)).bit_length() + bits > 64:
+            key = _dense(key).astype(np.uint64)
+        key = key << np.uint64(bits) | c.astype(np.uint64)
+    return _dense(key)
+
+
+def suffix_order(text: bytes, begins: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, piece of each, new): the places of all windows in the order of their suffixes, and
+    whether the window's prefix of ``length`` bytes differs from that of the one before.
+
+    Pieces of ``text`` are at ``begins``, have ``length`` bytes at least, and 8 zeros after each.
+    A suffix is read in steps of ``CHAR`` bytes, its characters; zeros follow the end of its piece.
+    Suffixes that agree in ``length`` bytes lie together, in any order.
+    """
+    void = len(text)
+    piece = np.repeat(np.arange(len(sizes)), sizes)
+    inside = np.arange(len(piece)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    place = begins[piece] + inside
+    end = (begins + sizes)[piece]
+    kind = inside // CHAR % 3
+
+    def later(which, step):
+        """The places ``step`` bytes on; a place of rank 0 beyond the piece."""
+        at = place[which] + step
+        return np.where(at < end[which], at, void)
+
+    def by_place(which, ranks):
+        out = np.zeros(void + 1, np.int64)
+        out[place[which]] = ranks
+        return out
+
+    words = np.ndarray((void,), ">u8", text + bytes(8), 0, (1,))
+    every = np.arange(len(place))
+    char = by_place(every, _dense(words[place].astype(np.uint64) >> np.uint64(64 - 8 * CHAR)))
+    # Names of the samples' triples, then of triples of names.
+    sample = np.flatnonzero(kind > 0)
+    names, width = char, CHAR
+    while width < length or width == CHAR:
+        if 3 * width >= length:
+            # The last names are read for windows only, at most two characters on.
+            sample = sample[inside[sample] <= (sizes[piece] - length)[sample] + 2 * CHAR]
+        names = by_place(sample, _ranks(*(names[later(sample, k * width)] for k in range(3))))
+        width *= 3
+    # Merging: a suffix of kind 0 meets those of kind 1 and of kind 2 under keys that both have.
+    window = inside <= sizes[piece] - length
+    zero, one, two = (np.flatnonzero(window & (kind == k)) for k in range(3))
+    with_one, with_two = np.concatenate([zero, one]), np.concatenate([zero, two])
+    first = _ranks(char[place[with_one]], names[later(with_one, CHAR)])
+    second = _ranks(char[place[with_two]], char[later(with_two, CHAR)], names[later(with_two, 2 * CHAR)])
+
+    def smaller(of, among):
+        """How many ranks of ``among`` are less than each of ``of``."""
+        counts = np.bincount(among, minlength=int(of.max(initial=0)) + 1)
+        return (np.cumsum(counts) - counts)[of]
+
+    n = len(zero)
+    samples = names[place[np.concatenate([one, two])]]
+    own = smaller(samples, samples)
+    rank = np.concatenate([
+        smaller(first[:n], first[:n]) + smaller(first[:n], first[n:]) + smaller(second[:n], second[n:]),
+        own[: len(one)] + smaller(first[n:], first[:n]),
+        own[len(one) :] + smaller(second[n:], second[:n]),
+    ])
+    order = np.concatenate([zero, one, two])[np.argsort(rank.astype(np.int32))]
+    # Adjacent prefixes.
+    at = place[order]
+    new = np.zeros(len(at), bool)
+    new[:1] = True
+    for step in [*range(0, length - 7, 8), length - 8]:
+        w = words[at + step]
+        new[1:] |= w[1:] != w[:-1]
+    return at, piece[order], new
+
+
+def least_docs(pieces: list[bytes], least: np.ndarray, length: int) -> np.ndarray:
+    """For all windows of the pieces, one after another: the least doc_id with an equal window."""
+    sizes = np.array([len(p) for p in pieces], np.int64)
+    begins = np.cumsum(sizes + 8) - sizes - 8
+    text = bytes(8).join(pieces) + bytes(8)
+    at, piece, new = suffix_order(text, begins, sizes, length)
+    runs = np.flatnonzero(new)
+    docs = np.repeat(np.minimum.reduceat(least[piece], runs), np.diff(runs, append=len(at)))
+    wide = sizes - length + 1
+    out = np.empty(len(at), np.int64)
+    out[at - begins[piece] + (np.cumsum(wide) - wide)[piece]] = docs
+    return out
+
+
+def shared_values(docs: DataFrame, buckets: int, length: int = LENGTH) -> DataFrame:
+    """``value`` (codes of anchor values found in several documents) and ``doc_id``."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = "bucket known n codes docs"
+
+        def rows(codes, owners, known):
+            places = codes >> 32
+            cuts = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]])[: len(codes)])
+            for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(codes)).tolist()):
+                by_doc = a + np.argsort(owners[a:b], kind="stable")
+                data = (codes[by_doc] & 0xFFFFFFFF).astype("<u4").tobytes()
+                yield _batch(names, [int(places[a])], [known], [b - a], [data], [_packed(owners[by_doc])])
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found, owners = [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                raw = _raw(text)
-                places, hashes = anchors(raw, length)
-                if len(places):
-                    same = np.full(len(places), doc_id, np.int64)
-                    prints = np.full(len(places), _print(raw), np.int64)
-                    yield _batch("value doc_id print place", hashes.view(np.int64), same, prints, places)
-
-    found = settle(docs.mapInArrow(find, "value bigint, doc_id bigint, print bigint, place bigint"))
-    shared = found.groupBy("value").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b")
-    shared = shared.select(F.col("value").alias("of"))
-    hits = found.join(shared, F.col("value") == F.col("of")).groupBy("doc_id", "print")
-    hits = hits.agg(F.collect_set("place").alias("places"))
-    hits = hits.select(F.col("doc_id").alias("of"), F.col("print").alias("of_print"), "places")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("doc_id", "text", "of_print", "places")]
-            for doc_id, text, of_print, places in zip(*columns):
-                raw = _raw(text)
-                if _print(raw) != of_print:
-                    continue
-                places = np.sort(np.array(places))
-                begins = np.maximum(0, places - (length - ANCHOR))
-                ends = np.minimum(len(raw), places + length)
-                new = np.flatnonzero(np.concatenate([[True], begins[1:] > ends[:-1]]))
-                lasts = np.append(new[1:], len(begins)) - 1
-                for a, b in zip(begins[new].tolist(), ends[lasts].tolist()):
-                    yield _batch("doc_id print begin data", [doc_id], [of_print], [a], [raw[a:b]])
-
-    joined = docs.join(hits, F.col("doc_id") == F.col("of")).select("doc_id", "text", "of_print", "places")
-    cuts = joined.mapInArrow(cut, "doc_id bigint, print bigint, begin bigint, data binary")
-    return cuts.distinct()
+                if doc_id is not None and text:
+                    values = anchors(_raw(text), length)[2]
+                    found.append(values)
+                    owners.append(np.full(len(values), doc_id, np.int64))
+            codes = _codes(np.concatenate([np.zeros(0, np.uint64), *found]), buckets)
+            owners = np.concatenate([np.zeros(0, np.int64), *owners])
+            at = np.lexsort((owners, codes))
+            codes, owners = codes[at], owners[at]
+            once = np.ones(len(codes), bool)
+            once[1:] = (codes[1:] != codes[:-1]) | (owners[1:] != owners[:-1])
+            codes, owners = codes[once], owners[once]
+            # Of the documents of a value, the first and the last tell other tasks all.
+            edge = np.ones(len(codes), bool)
+            edge[1:-1] = (codes[1:-1] != codes[:-2]) | (codes[1:-1] != codes[2:])
+            yield from rows(codes[edge], owners[edge], False)
+            yield from rows(codes[~edge], owners[~edge], True)
+
+    def meet(got: pa.Table) -> pa.Table:
+        bucket = got.column("bucket")[0].as_py()
+        codes, owners, sent = [], [], []
+        for known, data, packed in zip(*(got.column(c).to_pylist() for c in ("known", "codes", "docs"))):
+            codes.append(np.frombuffer(data, "<u4"))
+            owners.append(_unpacked(packed))
+            sent.append(np.full(len(codes[-1]), known))
+        codes, owners, sent = np.concatenate(codes), np.concatenate(owners), np.concatenate(sent)
+        mine = np.flatnonzero(~sent)
+        at = mine[np.argsort(codes[mine], kind="stable")]
+        starts = np.flatnonzero(np.concatenate([[True], codes[at[1:]] != codes[at[:-1]]])[: len(at)])
+        several = np.zeros(0, bool)
+        if len(at):
+            differ = np.maximum.reduceat(owners[at], starts) != np.minimum.reduceat(owners[at], starts)
+            several = np.repeat(differ, np.diff(starts, append=len(at)))
+        out = np.concatenate([at[several], np.flatnonzero(sent)])
+        return pa.table({"value": codes[out].astype(np.int64) | bucket << 32, "doc_id": owners[out]})
+
+    sent = docs.mapInArrow(giving_back(send), "bucket bigint, known boolean, n bigint, codes binary, docs binary")
+    return sent.groupBy("bucket").applyInArrow(meet, "value bigint, doc_id bigint")
+
+
+SENT = "bucket bigint, known boolean, codes binary, sizes binary, docs binary, prints binary, begins binary, data binary"
+_SENT = " ".join(part.split()[0] for part in SENT.split(", "))
 
 
-# Suffix sorting.  A string is a row (sid, chars): little-endian 64-bit characters from 1 upwards.
-
-
-def _chars(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, "<i8")
-
+def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``doc_id``, ``print`` (of the text), ``start`` and ``stop``: ranges of places where strings
+    of ``length`` bytes start that also start in a document with a smaller doc_id.
 
-def _rows(strings: DataFrame, make, schema: str) -> DataFrame:
-    """Rows that ``make(sid, chars)`` gives as arrays for each string."""
-    names = " ".join(part.split()[0] for part in schema.split(","))
+    A range comes from one piece; those of a row may touch one another."""
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size) // BUCKET_BYTES + 1)
+    values = shared_values(docs, buckets, length)
+    values = values.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list("value").alias("values"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in batch.schema.names)):
-                columns = make(*row)
-                if len(columns[0]):
-                    yield _batch(names, *columns)
-
-    return strings.mapInArrow(run, schema)
-
-
-def _gather(values: DataFrame, name: str) -> DataFrame:
-    """(sid, places, values) from rows (sid, i, ``name``), in the order of i."""
-    packed = values.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("i", name))).alias("all"))
-    return packed.select("sid", F.col("all.i").alias("places"), F.col(f"all.{name}").alias("values"))
-
-
-def _padded(c: np.ndarray, places: np.ndarray, shift: int) -> np.ndarray:
-    at = places + shift
-    return np.where(at < len(c), c[np.minimum(at, len(c) - 1)], 0)
-
-
-def _named(triples: DataFrame) -> DataFrame:
-    """(sid, i, name): names number the distinct triples from 1 in their order."""
-    order = [F.col(x) for x in "abc"]
-    distinct = settle(triples.select(*"abc").distinct().withColumn("one", F.lit(1)))
-    ranked = running_total(distinct, order, "one", "before").select(
-        *[F.col(x).alias(f"of_{x}") for x in "abc"], (F.col("before") + 1).alias("name")
-    )
-    on = (F.col("a") == F.col("of_a")) & (F.col("b") == F.col("of_b")) & (F.col("c") == F.col("of_c"))
-    return triples.join(ranked, on).select("sid", "i", "name")
-
-
-def order(strings: DataFrame, need: int) -> DataFrame:
-    """(sid, places, values): for each string the ranks of its suffixes at all places.
-
-    Suffixes that differ within their first ``need`` characters have ranks in their order;
-    suffixes that do not have ranks that lie together.
-    """
-    everywhere = need <= 3
-
-    def triples(sid, data):
-        c = _chars(data)
-        i = np.arange(len(c))
-        i = i if everywhere else i[i % 3 > 0]
-        return np.full(len(i), sid, np.int64), i, *[_padded(c, i, k) for k in range(3)]
-
-    named = _named(settle(_rows(strings, triples, "sid bigint, i bigint, a bigint, b bigint, c bigint")))
-    if everywhere:
-        return settle(_gather(named, "name"))
-    names = settle(_gather(named, "name"))
-
-    def joined(sid, places, values):
-        places, values = np.array(places), np.array(values)
-        halves = [values[places % 3 == k] for k in (1, 2)]
-        # One place with the least character keeps the halves apart.
-        return [sid], [np.concatenate([halves[0], [0], halves[1]]).astype("<i8").tobytes()]
-
-    inner = settle(_rows(names, joined, "sid bigint, chars binary"))
-    sub = order(inner, -(-need // 3)).select(F.col("sid").alias("of"), F.col("values").alias("ranks"))
-    known = strings.join(sub, F.col("sid") == F.col("of"), "left").select("sid", "chars", "ranks")
-    known = settle(known)
-
-    def spread(chars, ranks):
-        """Ranks by place; 0 where the suffix is no sample or empty."""
-        c = _chars(chars)
-        n = len(c)
-        r = np.zeros(n + 2, np.int64)
-        if ranks is not None:
-            ranks = np.array(ranks)
-            ones = len(np.arange(1, n, 3))
-            r[1:n:3] = ranks[:ones]
-            r[2:n:3] = ranks[ones + 1 :]
-        return c, r
-
-    def keys(sid, chars, ranks):
-        """Per place: kind and its keys; ``r`` is the own rank of a sample."""
-        c, r = spread(chars, ranks)
-        i = np.arange(len(c))
-        return np.full(len(i), sid, np.int64), i, i % 3, c, _padded(c, i, 1), r[i], r[i + 1], r[i + 2]
-
-    schema = "sid bigint, i bigint, kind bigint, c bigint, d bigint, r bigint, r1 bigint, r2 bigint"
-    rows = settle(_rows(known, keys, schema))
-
-    def before(df, by, counted, out):
-        """(sid, i, out): how many rows of the counted kind come before, under the order ``by``."""
-        ordered = df.select("sid", "i", *by, counted.cast("int").alias("counted"))
-        placed = running_total(ordered, [F.col(b) for b in [*by, "sid", "i"]], "counted", out)
-        return placed.select(F.col("sid").alias(f"{out}_sid"), F.col("i").alias(f"{out}_i"), out)
-
-    kind = F.col("kind")
-    parts = [
-        before(rows.filter(kind == 0), ["c", "r1"], F.lit(1), "own0"),
-        before(rows.filter(kind > 0), ["r"], F.lit(1), "own"),
-        before(rows.filter(kind < 2), ["c", "r1"], kind == 1, "ones"),
-        before(rows.filter(kind != 1), ["c", "d", "r2"], kind == 2, "twos"),
-        before(rows.filter(kind < 2), ["c", "r1"], kind == 0, "zeros1"),
-        before(rows.filter(kind != 1), ["c", "d", "r2"], kind == 0, "zeros2"),
-    ]
-    joined_rows = rows.select("sid", "i", "kind")
-    for name, part in zip(("own0", "own", "ones", "twos", "zeros1", "zeros2"), parts):
-        on = (F.col("sid") == F.col(f"{name}_sid")) & (F.col("i") == F.col(f"{name}_i"))
-        joined_rows = joined_rows.join(part, on, "left").drop(f"{name}_sid", f"{name}_i")
-    zero = F.lit(0)
-    rank = F.when(kind == 0, F.col("own0") + F.coalesce("ones", zero) + F.coalesce("twos", zero))
-    rank = rank.when(kind == 1, F.col("own") + F.coalesce("zeros1", zero)).otherwise(F.col("own") + F.coalesce("zeros2", zero))
-    return settle(_gather(joined_rows.select("sid", "i", (rank + 1).alias("rank")), "rank"))
-
-
-def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``doc_id``, ``print`` and ``starts``: where strings of ``length`` bytes start that also
-    start in a document with a smaller doc_id."""
-    parts = settle(stretches(docs, length))
-    keyed = settle(
-        running_total(
-            parts.select("doc_id", "print", "begin").withColumn("one", F.lit(1)), [F.col(c) for c in ("doc_id", "print", "begin")], "one", "sid"
-        ).drop("one")
-    )
-    ids = keyed.select("sid", *[F.col(c).alias(f"of_{c}") for c in ("doc_id", "print", "begin")])
-    on = (F.col("doc_id") == F.col("of_doc_id")) & (F.col("print") == F.col("of_print")) & (F.col("begin") == F.col("of_begin"))
-    parts = settle(parts.join(ids, on).select("sid", "doc_id", "print", "begin", "data"))
-
-    def widened(sid, data):
-        return [sid], [(np.frombuffer(data, np.uint8).astype("<i8") + 1).tobytes()]
-
-    strings = settle(_rows(parts.select("sid", "data"), widened, "sid bigint, chars binary"))
-    ranks = order(strings, length).select(F.col("sid").alias("of"), F.col("values").alias("ranks"))
-
-    def suffixes(doc_id, print_, begin, data, ranks):
-        n = max(0, len(data) - length + 1)
-        heads = [hashlib.blake2b(data[i : i + length], digest_size=16).digest() for i in range(n)]
-        same = [np.full(n, v, np.int64) for v in (doc_id, print_)]
-        return *same, begin + np.arange(n), np.array(ranks[:n], np.int64), pa.array(heads, pa.binary())
-
-    joined = parts.join(ranks, F.col("sid") == F.col("of")).select("doc_id", "print", "begin", "data", "ranks")
-    schema = "doc_id bigint, print bigint, place bigint, rank bigint, head binary"
-    rows = settle(_rows(joined, suffixes, schema).withColumn("one", F.lit(1)))
-    by = [F.col(c) for c in ("rank", "doc_id", "print", "place")]
-    placed = settle(running_total(rows, by, "one", "at").drop("one", "rank"))
-    # Adjacent prefixes: a run of equal ones is one string, wherever it starts.
-    last = placed.select((F.col("at") + 1).alias("next"), F.col("head").alias("last"))
-    runs = placed.join(last, F.col("at") == F.col("next"), "left")
-    runs = runs.withColumn("new", F.coalesce(F.col("head") != F.col("last"), F.lit(True)).cast("int"))
-    runs = settle(runs.select("doc_id", "print", "place", "at", "new"))
-    runs = running_total(runs, [F.col("at")], "new", "earlier").withColumn("run", F.col("earlier") + F.col("new"))
-    runs = settle(runs)
-    least = runs.groupBy(F.col("run").alias("of")).agg(F.min("doc_id").alias("least"))
-    again = runs.join(least, F.col("run") == F.col("of")).filter("doc_id > least")
-    return again.groupBy("doc_id", "print").agg(F.collect_list("place").alias("starts"))
-
-
-def covered(starts, length: int = LENGTH) -> list[tuple[int, int]]:
+            columns = [batch.column(c).to_pylist() for c in ("doc_id", "text")]
+            lists = batch.column("values")
+            asked = [k for k, v in enumerate(lists.is_valid().to_pylist()) if v and columns[1][k]]
+            # In the order of doc_id: the first to hold a piece is the least of this task to do so.
+            asked.sort(key=lambda k: columns[0][k])
+            seen: dict[bytes, int] = {}
+            out: list[tuple] = []
+            settled: list[list[int]] = []
+            for k in asked:
+                doc_id, raw = columns[0][k], _raw(columns[1][k])
+                begin, end, value = anchors(raw, length)
+                codes = _codes(value, buckets)
+                mine = np.flatnonzero(np.isin(codes, lists[k].values.to_numpy()))
+                print_ = _print(raw)
+                for a, b, code in zip(begin[mine].tolist(), end[mine].tolist(), codes[mine].tolist()):
+                    piece = raw[a : b + length - 1]
+                    if seen.setdefault(piece, doc_id) == doc_id:
+                        out.append((code, doc_id, print_, a, piece))
+                    elif settled and settled[-1][3] == a and settled[-1][:2] == [doc_id, print_]:
+                        settled[-1][3] = b
+                    else:
+                        settled.append([doc_id, print_, a, b])
+            out.sort(key=lambda r: r[0])
+            codes = np.array([r[0] for r in out], np.int64)
+            cuts = np.flatnonzero(np.diff(codes >> 32, prepend=-1))
+            for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(out)).tolist()):
+                part = sorted(out[a:b], key=lambda r: r[1:4])
+                numbers = [np.array([r[c] for r in part], np.int64) for c in range(4)]
+                sizes = np.array([len(r[4]) for r in part], np.int64)
+                data = zstandard.compress(b"".join(r[4] for r in part), 1)
+                low = _packed(numbers[0] & 0xFFFFFFFF)
+                yield _batch(_SENT, [int(codes[a] >> 32)], [False], [low], [_packed(sizes)], *([_packed(x)] for x in numbers[1:]), [data])
+            if settled:
+                doc_ids, prints, begins, ends = np.array(settled, np.int64).T
+                bucket = settled[0][1] % buckets
+                yield _batch(_SENT, [bucket], [True], [b""], [_packed(ends - begins)], [_packed(doc_ids)], [_packed(prints)], [_packed(begins)], [b""])
+
+    def compare(got: pa.Table) -> pa.Table:
+        results = [np.zeros((4, 0), np.int64)]
+        codes, distinct, rows = [], {}, []
+        for known, low, sizes, doc_ids, prints, begins, data in zip(*(got.column(c).to_pylist() for c in _SENT.split()[1:])):
+            sizes, doc_ids, prints, begins = map(_unpacked, (sizes, doc_ids, prints, begins))
+            if known:
+                results.append(np.stack([doc_ids, prints, begins, begins + sizes]))
+                continue
+            data, ends = zstandard.decompress(data), np.cumsum(sizes).tolist()
+            which = [distinct.setdefault(data[a:b], len(distinct)) for a, b in zip([0, *ends], ends)]
+            codes.append(_unpacked(low))
+            rows.append(np.stack([np.array(which, np.int64), doc_ids, prints, begins]))
+        if distinct:
+            pieces = list(distinct)
+            which, doc_ids, prints, begins = np.concatenate(rows, 1)
+            least = np.full(len(pieces), np.iinfo(np.int64).max)
+            np.minimum.at(least, which, doc_ids)
+            code = np.zeros(len(pieces), np.int64)
+            code[which] = np.concatenate(codes)
+            wide = np.array([len(p) for p in pieces], np.int64) - length + 1
+            # Equal windows have one code: parts of the codes are sorted one after another.
+            parts = (np.sum(wide) + (length - 1) * len(pieces)) // SORT_BYTES + 1
+            order = np.argsort(code * 0x9E3779B1 % 0xFFFFFFFB % parts, kind="stable")
+            part = (code * 0x9E3779B1 % 0xFFFFFFFB % parts)[order]
+            ends = np.searchsorted(part, np.arange(parts), "right")
+            found = [least_docs([pieces[k] for k in order[a:b].tolist()], least[order[a:b]], length) for a, b in zip([0, *ends[:-1]], ends) if a < b]
+            found = np.concatenate(found)
+            offset = np.empty(len(pieces), np.int64)
+            offset[order] = np.cumsum(wide[order]) - wide[order]
+            # Each row that holds a piece asks for the windows found under a smaller doc_id.
+            width = wide[which]
+            total = np.cumsum(width)
+            inside = np.arange(total[-1]) - np.repeat(total - width, width)
+            gone = found[np.repeat(offset[which], width) + inside] < np.repeat(doc_ids, width)
+            row = np.repeat(np.arange(len(which)), width)
+            opens = gone.copy()
+            opens[1:] &= ~gone[:-1] | (inside[1:] == 0)
+            closes = gone.copy()
+            closes[:-1] &= ~gone[1:] | (inside[1:] == 0)
+            opens, closes = np.flatnonzero(opens), np.flatnonzero(closes)
+            of = row[opens]
+            results.append(np.stack([doc_ids[of], prints[of], begins[of] + inside[opens], begins[of] + inside[closes] + 1]))
+        return pa.table(list(np.concatenate(results, 1)), names=["doc_id", "print", "start", "stop"])
+
+    joined = docs.join(values, F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", "values")
+    sent = joined.mapInArrow(giving_back(send), SENT)
+    return sent.groupBy("bucket").applyInArrow(compare, "doc_id bigint, print bigint, start bigint, stop bigint")
+
+
+def covered(ranges, length: int = LENGTH) -> list[tuple[int, int]]:
+    """The bytes of all strings that start in the ranges."""
     out: list[list[int]] = []
-    for a in sorted(starts):
+    for a, b in sorted(ranges):
         if out and a <= out[-1][1]:
-            out[-1][1] = a + length
+            out[-1][1] = max(out[-1][1], b - 1 + length)
         else:
-            out.append([a, a + length])
+            out.append([a, b - 1 + length])
     return [tuple(x) for x in out]
 
 
@@ -287,8 +387,8 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     without doc_id are kept whole and are not searched.  Other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    found = repeats(docs.filter("doc_id is not null and text is not null"), length)
-    found = settle(found.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("print", "starts")).alias("found")))
+    found = repeats(docs, length)
+    found = found.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("print", "start", "stop")).alias("found"))
     joined = docs.join(found, F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", "found")
     schema = "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
 
@@ -296,10 +396,14 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         pairs = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             sizes, spans, kept = [], [], []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist()):
+            lists = batch.column("found")
+            for k, text in enumerate(batch.column("text").to_pylist()):
                 raw = _raw(text)
-                mine = [f["starts"] for f in found or () if f["print"] == _print(raw)]
-                gone = covered(mine[0] if mine else (), length)
+                gone = []
+                if lists[k].is_valid:
+                    of_print, starts, stops = (lists[k].values.field(c).to_numpy() for c in range(3))
+                    mine = of_print == _print(raw)
+                    gone = covered(zip(starts[mine].tolist(), stops[mine].tolist()), length)
                 edges = [0, *[e for s in gone for e in s], len(raw)]
                 sizes.append(len(raw))
                 spans.append([{"start": a, "end": b} for a, b in gone])
@@ -307,7 +411,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(spans, pairs), pa.array(kept, pa.binary())]
             yield _batch("doc_id n_bytes spans kept", *columns)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(giving_back(run), schema)
 
 
 def op5_suffix_dedup(spark, folder):
