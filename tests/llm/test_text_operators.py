@@ -271,7 +271,8 @@ def test_suffix_order(length, letters):
     assert suffix_dedup.least_docs(pieces, docs, length).tolist() == [least[w] for own in windows for w in own]
 
 
-def test_suffix_dedup_stores_nothing(spark):
+@pytest.mark.parametrize("often", [suffix_dedup.OFTEN, 10, 1])
+def test_suffix_dedup_stores_nothing(spark, often):
     """Copies, a line that stands everywhere, and repeats longer than a piece; no table is stored."""
     rng = np.random.default_rng(8)
     line = "This line of more than fifty bytes stands in every text of the table."
@@ -280,7 +281,7 @@ def test_suffix_dedup_stores_nothing(spark):
     rows += [(i, rows[4][1]) for i in (3, 90, 140, 141)] + [(7, "z" * 9000), (6, "z" * 5000 + line), (8, "z" * 60 + own[3])]
     df = _framed(spark, [(i, t, "", "") for i, t in rows]).repartition(5)
     before = stored_tables(spark)
-    found = suffix_dedup.deduplicated(df).select(
+    found = suffix_dedup.deduplicated(df, often=often).select(
         "doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("r"), F.size("spans").alias("s"), F.sha2("kept", 256).alias("h")
     )
     assert _got(found) == _sorted(brute.removed(rows))

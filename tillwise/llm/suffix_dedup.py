@@ -12,9 +12,10 @@ merged.  Then adjacent prefixes of 50 bytes are compared: a run of equal ones is
 the least doc_id of its pieces decides for all of its places.
 
 Only what may repeat gets that far.  A first pass sends 4 bytes of each anchor value and its doc_id;
-windows whose value is found in one document only repeat nowhere.  That loses nothing.  In both
-passes a task holds back what its own rows settle, so a text or line that stands in very many rows
-is sent a few times a task.
+windows whose value is found in one document only repeat nowhere.  That loses nothing.  A task
+sends each piece once and settles its own copies, so a text or line that stands in very many rows
+is sent once a task.  What differs around a value of very many documents is dealt by whole
+windows instead.
 """
 
 from __future__ import annotations
@@ -36,6 +37,9 @@ ANCHOR = 20
 BUCKET_BYTES = 4 << 20
 SORT_BYTES = 40_000
 PIECE_WINDOWS = 4096
+#: A value of so many documents has its windows dealt one by one.
+OFTEN = 200_000
+_OFTEN = 1 << 62
 #: Bytes of a character of the sort: with the place of one in 65,536 it fits in 8 bytes.
 CHAR = 6
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -209,8 +213,9 @@ def least_docs(pieces: list[bytes], least: np.ndarray, length: int) -> np.ndarra
     return out
 
 
-def shared_values(docs: DataFrame, buckets: int, length: int = LENGTH) -> DataFrame:
-    """``value`` (codes of anchor values found in several documents) and ``doc_id``."""
+def shared_values(docs: DataFrame, buckets: int, length: int = LENGTH, often: int = OFTEN) -> DataFrame:
+    """``value`` (codes of anchor values found in several documents; plus 2^62 if in ``often``
+    or more) and ``doc_id``."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = "bucket known n codes docs"
@@ -259,7 +264,11 @@ def shared_values(docs: DataFrame, buckets: int, length: int = LENGTH) -> DataFr
             differ = np.maximum.reduceat(owners[at], starts) != np.minimum.reduceat(owners[at], starts)
             several = np.repeat(differ, np.diff(starts, append=len(at)))
         out = np.concatenate([at[several], np.flatnonzero(sent)])
-        return pa.table({"value": codes[out].astype(np.int64) | bucket << 32, "doc_id": owners[out]})
+        value, doc_id = codes[out].astype(np.int64) | bucket << 32, owners[out]
+        if len(value) >= often:
+            _, which, n = np.unique(value, return_inverse=True, return_counts=True)
+            value[n[which] >= often] += _OFTEN
+        return pa.table({"value": value, "doc_id": doc_id})
 
     sent = docs.mapInArrow(giving_back(send), "bucket bigint, known boolean, n bigint, codes binary, docs binary")
     return sent.groupBy("bucket").applyInArrow(meet, "value bigint, doc_id bigint")
@@ -269,7 +278,7 @@ SENT = "bucket bigint, known boolean, codes binary, sizes binary, docs binary, p
 _SENT = " ".join(part.split()[0] for part in SENT.split(", "))
 
 
-def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH, often: int = OFTEN) -> DataFrame:
     """``doc_id``, ``print`` (of the text), ``start`` and ``stop``: ranges of places where strings
     of ``length`` bytes start that also start in a document with a smaller doc_id.
 
@@ -277,9 +286,20 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size) // BUCKET_BYTES + 1)
-    values = shared_values(docs, buckets, length)
+    values = shared_values(docs, buckets, length, often)
     values = values.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list("value").alias("values"))
 
+    def by_window(raw, begin, end, codes, common):
+        """Windows of common values as pieces of their own, with a value of their own bytes."""
+        many = np.isin(codes, common)
+        width = (end - begin)[many]
+        place = np.repeat(begin[many] - (np.cumsum(width) - width), width) + np.arange(width.sum())
+        own = np.array([xxhash.xxh64_intdigest(raw[a : a + length]) for a in place.tolist()], np.uint64)
+        begin, end = np.concatenate([begin[~many], place]), np.concatenate([end[~many], place + 1])
+        codes = np.concatenate([codes[~many], _codes(own, buckets)])
+        at = np.argsort(begin)
+        return begin[at], end[at], codes[at]
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("doc_id", "text")]
@@ -294,9 +314,13 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 doc_id, raw = columns[0][k], _raw(columns[1][k])
                 begin, end, value = anchors(raw, length)
                 codes = _codes(value, buckets)
-                mine = np.flatnonzero(np.isin(codes, lists[k].values.to_numpy()))
+                asked_for = lists[k].values.to_numpy()
+                mine = np.flatnonzero(np.isin(codes, asked_for & (_OFTEN - 1)))
                 print_ = _print(raw)
-                for a, b, code in zip(begin[mine].tolist(), end[mine].tolist(), codes[mine].tolist()):
+                begin, end, codes = begin[mine], end[mine], codes[mine]
+                if (asked_for >= _OFTEN).any():
+                    begin, end, codes = by_window(raw, begin, end, codes, asked_for[asked_for >= _OFTEN] - _OFTEN)
+                for a, b, code in zip(begin.tolist(), end.tolist(), codes.tolist()):
                     piece = raw[a : b + length - 1]
                     if seen.setdefault(piece, doc_id) == doc_id:
                         out.append((code, doc_id, print_, a, piece))
@@ -379,15 +403,16 @@ def covered(ranges, length: int = LENGTH) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def deduplicated(docs: DataFrame, length: int = LENGTH, often: int = OFTEN) -> DataFrame:
     """``doc_id``, ``spans`` removed (byte offsets, end exclusive) and ``kept``, the bytes left.
 
     Texts are UTF-8 bytes; null texts are empty; matches never cross documents.  Strings are
     judged on the input.  Rows that share a doc_id are not earlier than one another; rows
-    without doc_id are kept whole and are not searched.  Other columns are not read.
+    without doc_id are kept whole and are not searched.  Other columns are not read.  ``often``
+    affects speed only.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    found = repeats(docs, length)
+    found = repeats(docs, length, often)
     found = found.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("print", "start", "stop")).alias("found"))
     joined = docs.join(found, F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", "found")
     schema = "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
