@@ -219,6 +219,39 @@ def test_gradients():
     )
 
 
+@pytest.mark.parametrize("scale", [1, 9])
+def test_probability_against_plain_attention(scale):
+    rng = np.random.default_rng(1)
+    prior = np.log(rng.dirichlet(np.ones(attention_lm.CLASSES), attention_lm.CLASSES**2)).astype(np.float32)
+    w = {k: v * np.float32(scale) for k, v in attention_lm.new_weights().items()}
+    text = np.append(rng.integers(1, attention_lm.CLASSES, 60), 0)
+    inputs, targets, real, first, _ = attention_lm.blocks_of([text])
+    found = attention_lm.log_probability(w, prior, inputs, targets, first)[real]
+    w, before, wide = {k: v.astype(np.float64) for k, v in w.items()}, [0, 0, *text], attention_lm.WIDTH
+    q, k, v = np.split(w["E"] @ w["QKV"], 3, axis=1)
+    for i, now in enumerate(text):
+        seen = range(max(0, (i // attention_lm.BLOCK - 1) * attention_lm.BLOCK), i + 1)
+        s = np.array([q[before[i + 1]] @ k[before[j + 1]] / math.sqrt(wide) + w["B"][i - j] for j in seen])
+        p = np.exp(s - s.max())
+        h = w["E"][before[i + 1]] + p @ np.array([v[before[j + 1]] for j in seen]) / p.sum() @ w["O"]
+        z = (h + np.maximum(h @ w["W1"], 0) @ w["W2"]) @ w["U"] + w["u"] + prior[before[i] * attention_lm.CLASSES + before[i + 1]]
+        plain = z[now] - z.max() - np.log(np.exp(z - z.max()).sum())
+        assert math.isclose(found[i], plain, rel_tol=1e-4, abs_tol=1e-4)
+
+
+def test_words_are_encoded_once():
+    encoder = attention_lm.Encoder(token_files.tokenizer_path("byte_bpe_50k.tiktoken"))
+    rng, whole, given = np.random.default_rng(2), encoder.whole, []
+    parts = [" ", "  ", "\n", "\n\n", "\t", "\xa0", "\u3000", "\x1c", "a", "b c", "Don't", "'s", "12", "ß", "é", "中", "!", "😀", " x", "y "]
+    texts = ["", " ", "a", "a b", " a", "a ", *("".join(rng.choice(parts, n)) for n in rng.integers(0, 9, 3000))]
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert ids.tolist() == [*whole(text), attention_lm.END]
+    assert encoder.encode([]) == []
+    encoder.whole = lambda text: given.append(text) or whole(text)
+    assert all(x.tolist() == [*whole("so many words"), attention_lm.END] for x in encoder.encode(["so many words"] * 50))
+    assert sorted("".join(given).replace("so", "").split()) == ["many", "words"]
+
+
 def test_attention_scores(spark, odd, none):
     ranks = token_files.tokenizer_path("byte_bpe_50k.tiktoken")
     df = _table(spark).select("doc_id", "text").unionByName(odd.select((F.col("doc_id") + 10**6).alias("doc_id"), "text"))

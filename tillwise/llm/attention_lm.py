@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import math
+import re
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -62,14 +63,51 @@ VOCABULARY = 50_257
 END = 50_256
 
 
-def encoder(path: str):
-    """Byte-level BPE ranks as a tokenizer."""
-    import public_tokenizers
-    import tiktoken
+class Encoder:
+    """Byte-level BPE ids of many texts; each word, with the space before it, is encoded once a call.
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    The pattern always cuts before a space that stands after something other than white space, and
+    what comes after the cut does not depend on what is before.  Texts with a space at an end, or
+    after white space or a rarer character, are encoded whole.
+    """
+
+    # The plain characters are printable ASCII and Latin-1 letters.
+    UNSURE = re.compile(r" (?:(?<![!-~À-ÿ] )|\Z)")
+    PLAIN = re.compile("[!-~À-ÿ]")
+    ONLY_SPACE = bytes(range(256))
+
+    def __init__(self, path: str):
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.whole = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.lengths[list(ranks.values())] = list(map(len, ranks))
+
+    def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
+        by_words = [i for i, t in enumerate(texts) if self.PLAIN.match(t[-1:]) and not self.UNSURE.search(t)]
+        heads, _, rests = zip(*(texts[i].partition(" ") for i in by_words)) if by_words else ((), (), ())
+        words = [w for r in rests if r for w in r.split(" ")]
+        hashes, ends = word_hashes(rests, self.ONLY_SPACE)
+        _, at, place = np.unique(hashes, return_index=True, return_inverse=True)
+        each = [words[i] for i in at.tolist()]
+        ids = np.array(self.whole("".join([" " + w for w in each])), np.int64)
+        # Where each word ends among the ids, by bytes.
+        bytes_of = np.cumsum([1 + len(w.encode()) for w in each])
+        cuts = np.searchsorted(np.cumsum(self.lengths[ids]), bytes_of) + 1
+        length = np.diff(cuts, prepend=0)
+        begin, length = (cuts - length)[place], length[place]
+        size = np.concatenate([[0], np.cumsum(length)])
+        flat = ids[np.repeat(begin - size[:-1], length) + np.arange(size[-1])]
+        out: list = [None] * len(texts)
+        for i, head, rest in zip(by_words, heads, np.split(flat, size[ends])):
+            out[i] = np.concatenate([np.array(self.whole(head), np.int64), rest, [END]]).astype(np.uint16)
+        for i, text in enumerate(texts):
+            if out[i] is None:
+                out[i] = np.array([*self.whole(text), END], np.uint16)
+        return out
 
 
 def spaced_ids(path: str) -> np.ndarray:
@@ -114,7 +152,8 @@ SHAPES = {
 }
 _OFFSET = np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)[None, :]
 _AHEAD = _OFFSET < 0
-_FAR = np.float32(-30)
+#: Exponents whose size has this bound need no shift.
+_SAFE = 30
 
 
 class Counts:
@@ -179,38 +218,79 @@ def blocks_of(texts: Sequence[np.ndarray]) -> tuple[np.ndarray, ...]:
     return inputs.reshape(shape), targets.reshape(shape), real.reshape(shape), first, owner
 
 
+def windows(of_class: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """The rows of each block's classes and of those of the block before, as a view; zeros come before the first."""
+    rows = np.zeros((BLOCK + len(classes), WIDTH), of_class.dtype)
+    of_class.take(classes, 0, rows[BLOCK:], "clip")
+    row, cell = rows.strides
+    return np.lib.stride_tricks.as_strided(rows, (len(classes) // BLOCK, 2 * BLOCK, WIDTH), (BLOCK * row, row, cell))
+
+
+def longest(rows: np.ndarray) -> float:
+    return math.sqrt(np.vecdot(rows, rows).max(initial=0))
+
+
+def prepared(w: dict) -> dict:
+    """The weights and what follows from them alone, for ``forward``.
+
+    Queries, keys and values depend on the class alone: they are computed once per class."""
+    q, k, v = (np.ascontiguousarray(part) for part in np.split(w["E"] @ w["QKV"], 3, axis=1))
+    q *= 1 / math.sqrt(WIDTH)
+    bias = w["B"][np.maximum(_OFFSET, 0)]
+    # The bias of the output as one more row, for a column of ones.
+    out = np.concatenate([w["U"], w["u"][None]]) if "u" in w else w["U"]
+    return w | {
+        "of_class": (q, k, v),
+        "bias": np.where(_AHEAD, -np.inf, bias).astype(bias.dtype),
+        "factors": np.where(_AHEAD, 0, np.exp(np.minimum(bias, _SAFE))),
+        "is_safe": longest(q) * longest(k) + np.abs(bias).max() < _SAFE,
+        "out": out,
+        "out_length": longest(out.T),
+    }
+
+
 def forward(w: dict, prior: np.ndarray, inputs: np.ndarray, first: np.ndarray, keep: dict | None = None) -> np.ndarray:
     """Logits (positions, classes).  The block before ``inputs[i]`` is ``inputs[i - 1]``; a block
     with ``first`` attends to itself only."""
-    n = len(inputs)
-    x = w["E"][inputs]
-    qkv = (x.reshape(-1, WIDTH) @ w["QKV"]).reshape(n, BLOCK, 3 * WIDTH)
-    q = qkv[:, :, :WIDTH] * np.float32(1 / math.sqrt(WIDTH))
-    kv = np.zeros((n, 2 * BLOCK, 2 * WIDTH), np.float32)
-    kv[:, BLOCK:] = qkv[:, :, WIDTH:]
-    kv[1:, :BLOCK] = kv[:-1, BLOCK:]
-    k, v = kv[:, :, :WIDTH], kv[:, :, WIDTH:]
-    bias = np.where(_AHEAD, _FAR, w["B"][np.maximum(_OFFSET, 0)]).astype(np.float32)
+    w = w if "of_class" in w else prepared(w)
+    flat = inputs.ravel()
+    q, k, v = w["of_class"]
+    q, k, v = q.take(flat, 0).reshape(-1, BLOCK, WIDTH), windows(k, flat), windows(v, flat)
     s = np.matmul(q, k.transpose(0, 2, 1))
-    s += bias
-    s[first, :, :BLOCK] = _FAR
-    np.minimum(s, -_FAR, out=s)
-    p = np.exp(s, out=s)
-    total = p.sum(-1, keepdims=True)
-    a = (np.matmul(p, v) / total).reshape(-1, WIDTH)
-    h = x.reshape(-1, WIDTH) + a @ w["O"]
-    m = np.maximum(h @ w["W1"], 0)
-    g = h + m @ w["W2"]
+    if w["is_safe"]:
+        p = np.exp(s, out=s)
+        p *= w["factors"]
+        p[first, :, :BLOCK] = 0
+    else:
+        s += w["bias"]
+        s[first, :, :BLOCK] = -np.inf
+        s -= s.max(-1, keepdims=True)
+        p = np.exp(s, out=s)
+    total = p.reshape(-1, 2 * BLOCK) @ np.ones(2 * BLOCK, p.dtype)
+    a = np.matmul(p, v).reshape(-1, WIDTH)
+    a /= total[:, None]
+    x = w["E"].take(flat, 0)
+    h = a @ w["O"]
+    h += x
+    m = h @ w["W1"]
+    np.maximum(m, 0, out=m)
+    g = m @ w["W2"]
+    g += h
+    if "u" in w:
+        g = np.concatenate([g, np.ones((len(g), 1), g.dtype)], 1)
     if keep is not None:
-        keep.update(x=x, q=q, k=k, v=v, p=p / total, a=a, h=h, m=m, g=g)
+        keep.update(x=x, q=q, k=k, v=v, p=p, total=total, a=a, h=h, m=m, g=g)
     before = np.zeros_like(inputs)
     before[:, 1:] = inputs[:, :-1]
     before[1:, 0] = inputs[:-1, -1]
     before[first, 0] = 0
-    z = prior[(before * CLASSES + inputs).ravel()]
-    z += g @ w["U"]
-    if "u" in w:
-        z += w["u"]
+    before *= CLASSES
+    before += inputs
+    z = g @ w["out"]
+    z += prior.take(before.ravel(), 0)
+    # Log-probabilities with a small correction: a shift is hardly ever needed.
+    if longest(g) * w["out_length"] > _SAFE:
+        z -= z.max(1, keepdims=True)
     return z
 
 
@@ -218,6 +298,7 @@ def log_probability(w: dict, prior: np.ndarray, inputs, targets, first) -> np.nd
     """ln P(class | context) of each position, block by block."""
     out = np.zeros(targets.shape, np.float32)
     ones = np.ones(CLASSES, prior.dtype)
+    w = prepared(w)
     for at in range(0, len(inputs), CHUNK):
         # One block more in front gives the context of the first; it is scored in its own chunk.
         low = max(0, at - 1)
@@ -225,9 +306,8 @@ def log_probability(w: dict, prior: np.ndarray, inputs, targets, first) -> np.nd
         z = forward(w, prior, inputs[low : at + CHUNK], starts)[(at - low) * BLOCK :]
         here = targets[at : at + CHUNK].ravel()
         picked = z[np.arange(len(here)), here]
-        # Logits are log-probabilities with a small correction: no shift is needed.
-        total = np.exp(np.minimum(z, 60, out=z), out=z) @ ones
-        out[at : at + CHUNK] = (np.minimum(picked, 60) - np.log(np.maximum(total, 1e-37))).reshape(-1, BLOCK)
+        total = np.exp(z, out=z) @ ones
+        out[at : at + CHUNK] = (picked - np.log(total)).reshape(-1, BLOCK)
     return out
 
 
@@ -235,36 +315,42 @@ def gradients(w: dict, prior: np.ndarray, inputs, targets, real, first) -> dict[
     """Gradients of the mean negative log-probability."""
     t: dict = {}
     z = forward(w, prior, inputs, first, t)
-    z -= z.max(1, keepdims=True)
-    dz = np.exp(z)
-    dz /= dz.sum(1, keepdims=True)
-    dz[np.arange(len(dz)), targets.ravel()] -= 1
-    dz *= (real.ravel() / max(1, real.sum()))[:, None].astype(np.float32)
-    out = {"U": t["g"].T @ dz, "u": dz.sum(0)}
-    dg = dz @ w["U"].T
-    dm = (dg @ w["W2"].T) * (t["m"] > 0)
+    e = np.exp(z, out=z)
+    each = e @ np.ones(CLASSES, e.dtype)
+    e[np.arange(len(e)), targets.ravel()] -= each
+    # The factor of a row is applied to the narrow sides of the products.
+    factor = (real.ravel() / max(1, real.sum()) / each).astype(e.dtype)
+    last = (e.T @ (t["g"] * factor[:, None])).T
+    out = {"U": last[:WIDTH], "u": last[WIDTH]}
+    dg = e @ w["U"].T
+    dg *= factor[:, None]
+    dm = dg @ w["W2"].T
+    dm *= t["m"] > 0
     out["W2"], out["W1"] = t["m"].T @ dg, t["h"].T @ dm
-    dh = dg + dm @ w["W1"].T
+    dh = dm @ w["W1"].T
+    dh += dg
     out["O"] = t["a"].T @ dh
-    da = (dh @ w["O"].T).reshape(len(inputs), BLOCK, WIDTH)
-    dp = np.matmul(da, t["v"].transpose(0, 2, 1))
-    ds = t["p"] * (dp - (dp * t["p"]).sum(-1, keepdims=True))
-    ds[:, _AHEAD] = 0
-    ds[first, :, :BLOCK] = 0
+    da = dh @ w["O"].T
+    da /= t["total"][:, None]
+    inner = np.vecdot(da, t["a"]).reshape(-1, BLOCK, 1)
+    da = da.reshape(len(inputs), BLOCK, WIDTH)
+    ds = np.matmul(da, t["v"].transpose(0, 2, 1))
+    ds -= inner
+    ds *= t["p"]
     out["B"] = np.bincount(np.maximum(_OFFSET, 0).ravel(), ds.sum(0).ravel(), 2 * BLOCK)
-    dkv = np.concatenate(
-        [np.matmul(ds.transpose(0, 2, 1), t["q"]), np.matmul(t["p"].transpose(0, 2, 1), da)], -1
-    )
-    own = dkv[:, BLOCK:]
-    own[:-1] += dkv[1:, :BLOCK]
-    dq = np.matmul(ds, t["k"]) * np.float32(1 / math.sqrt(WIDTH))
-    dqkv = np.concatenate([dq, own], -1).reshape(-1, 3 * WIDTH)
-    flat = t["x"].reshape(-1, WIDTH)
-    out["QKV"] = flat.T @ dqkv
-    dx = dh + dqkv @ w["QKV"].T
-    hot = np.zeros((CLASSES, len(dx)), np.float32)
-    hot[inputs.ravel(), np.arange(len(dx))] = 1
-    out["E"] = hot @ dx
+    dq = np.matmul(ds, t["k"]).reshape(-1, WIDTH)
+    both = np.empty((len(inputs), 2 * BLOCK, 2 * WIDTH), e.dtype)
+    np.matmul(ds.transpose(0, 2, 1), t["q"], out=both[:, :, :WIDTH])
+    np.matmul(t["p"].transpose(0, 2, 1), da, out=both[:, :, WIDTH:])
+    both[:-1, BLOCK:] += both[1:, :BLOCK]
+    dkv = both[:, BLOCK:].reshape(-1, 2 * WIDTH)
+    part = 1 / math.sqrt(WIDTH)
+    out["QKV"] = np.concatenate([t["x"].T @ dq * part, t["x"].T @ dkv], 1)
+    dx = dkv @ w["QKV"][:, WIDTH:].T
+    dx += dq @ (w["QKV"][:, :WIDTH].T * part)
+    dx += dh
+    cells = (inputs.ravel() * WIDTH)[:, None] + np.arange(WIDTH)
+    out["E"] = np.bincount(cells.ravel(), dx.ravel(), CLASSES * WIDTH).reshape(CLASSES, WIDTH)
     return out
 
 
@@ -275,21 +361,28 @@ def train(w: dict, prior: np.ndarray, texts: Sequence[np.ndarray], most_steps: i
     inputs, targets, real, first, _ = blocks_of(texts)
     rng = np.random.default_rng(seed)
     groups = -(-len(inputs) // STEP_BLOCKS)
-    one = {k: np.zeros_like(v) for k, v in w.items()}
-    two = {k: np.zeros_like(v) for k, v in w.items()}
+    # All weights as one array, of which ``mine`` has the parts.
+    flat = np.concatenate([v.ravel() for v in w.values()])
+    cuts = np.cumsum([v.size for v in w.values()])[:-1]
+    mine = {k: part.reshape(w[k].shape) for k, part in zip(w, np.split(flat, cuts))}
+    one, two = np.zeros_like(flat), np.zeros_like(flat)
     steps, step = most_steps or groups, 0
     while step < steps:
         for g in rng.permutation(groups)[: steps - step]:
             part = slice(g * STEP_BLOCKS, (g + 1) * STEP_BLOCKS)
             starts = first[part].copy()
             starts[0] = True
-            d = gradients(w, prior, inputs[part], targets[part], real[part], starts)
+            d = gradients(mine, prior, inputs[part], targets[part], real[part], starts)
+            d = np.concatenate([d[k].ravel() for k in w], dtype=flat.dtype)
             step += 1
             rate = RATE * (1 - 0.9 * step / steps) * math.sqrt(1 - 0.99**step) / (1 - 0.9**step)
-            for k in w:
-                one[k] = 0.9 * one[k] + 0.1 * d[k]
-                two[k] = 0.99 * two[k] + 0.01 * d[k] * d[k]
-                w[k] -= (rate * one[k] / (np.sqrt(two[k]) + 1e-8)).astype(np.float32)
+            one *= 0.9
+            one += 0.1 * d
+            two *= 0.99
+            two += 0.01 * d * d
+            flat -= rate * one / (np.sqrt(two) + 1e-8)
+    for k in w:
+        w[k][...] = mine[k]
     return step
 
 
@@ -327,7 +420,7 @@ def encoded(docs: DataFrame, ranks: str) -> DataFrame:
     """Per document its ids; per task its frequent training words and all its training ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = per_process(("ranks", ranks), lambda: encoder(ranks)).encode_ordinary_batch
+        encode = per_process(("ranks", ranks), lambda: Encoder(ranks)).encode
         id_counts = np.zeros(VOCABULARY, np.int64)
         words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         pack = zstandard.ZstdCompressor(level=1).compress
@@ -336,7 +429,8 @@ def encoded(docs: DataFrame, ranks: str) -> DataFrame:
                 few = batch.slice(at, 1500)
                 texts = few.column("text").to_pylist()
                 held = few.column("held_out").to_pylist()
-                ids = [np.array([*x, END], np.uint16) for x in encode([t or "" for t in texts], num_threads=1)]
+                # Fewer texts a call bound the memory of their words.
+                ids = [x for k in range(0, len(texts), 500) for x in encode([t or "" for t in texts[k : k + 500]])]
                 learned = [x for x, h in zip(ids, held) if not h]
                 if learned:
                     id_counts += np.bincount(np.concatenate(learned), minlength=VOCABULARY)
@@ -477,7 +571,8 @@ def model_scores(documents: DataFrame, w: dict, known: Counts) -> DataFrame:
     """``doc_id``, ``print`` and ``score`` (log10 of the text's probability)."""
     shared = documents.sparkSession.sparkContext.broadcast(known.__dict__)
 
-    w, last_bias = {k: v for k, v in w.items() if k != "u"}, w["u"]
+    # Shifted, which changes no probability, so that no logit is far above 0.
+    w, last_bias = {k: v for k, v in w.items() if k != "u"}, w["u"] - w["u"].max()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Counts.__new__(Counts)
@@ -521,6 +616,7 @@ def base_scores(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
         common = np.zeros(len(frequent) + 1, np.int64)
         uid = TaskContext.get().partitionId() << 33
         types = dict(zip(_COUNTED_NAMES, _COUNTED_TYPES))
+        pack = zstandard.ZstdCompressor(level=1).compress
 
         def rows(size, **columns):
             full = [pa.array(columns[c], types[c]) if c in columns else pa.nulls(size, types[c]) for c in _COUNTED_NAMES]
@@ -543,7 +639,7 @@ def base_scores(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 cells, n = np.unique(owner[known] * len(common) + place[known], return_counts=True)
                 cuts = np.searchsorted(cells, np.arange(len(texts) + 1) * len(common))
                 pairs = np.stack([cells % len(common), n], 1).astype("<u4")
-                packed = [zlib.compress(pairs[a:b].T.tobytes(), 1) for a, b in zip(cuts[:-1], cuts[1:])]
+                packed = [pack(pairs[a:b].T.tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
                 yield rows(
                     len(texts),
                     kind=[DOC] * len(texts),
@@ -596,10 +692,11 @@ def base_scores(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs, known = values.value
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             sums = []
             for data in batch.column("places"):
-                place, n = np.frombuffer(zlib.decompress(data.as_py()), "<u4").reshape(2, -1).astype(np.int64)
+                place, n = np.frombuffer(unpack(data.as_py()), "<u4").reshape(2, -1).astype(np.int64)
                 # The end of the text is the last entry of the table.
                 sums.append((float((logs[place] * n).sum() + logs[-1]), int((known[place] * n).sum()) + int(known[-1])))
             names = ["doc_id", "print", "held_out", "n_tokens", "of"]
